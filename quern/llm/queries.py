@@ -66,6 +66,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(documents(spark, sf_dir).select("doc_id", "text"), *byte_bpe())
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
@@ -73,13 +79,19 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed_lines", F.md5("text").alias("kept_md5"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(documents(spark, sf_dir).select("doc_id", "text"), digests=True)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import histogram, suffix_sums
 
     return suffix_sums(histogram(documents(spark, sf_dir), *byte_bpe()))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_quality_classifier, op4_media_columns, op5_byte_bpe, op7_line_dedup, op8_mixing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_quality_classifier, op4_media_columns, op5_byte_bpe, op6_minhash, op7_line_dedup, op8_mixing, op9_substring_dedup, op10_token_counts)}
 
 _W = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -102,16 +114,16 @@ SELECT doc_id, size, source_size, target, (floor(rate) + (u < rate - floor(rate)
 
 SQL["op1_quality_rules"] = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_W} AS w FROM documents),
-s AS (SELECT doc_id, t, w, len(w) AS n, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+s AS (SELECT doc_id, t, w, len(w) AS n, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 g AS (SELECT doc_id, unnest(range(1, n - 1)) AS i, w, n FROM s WHERE n >= 3),
 h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM g),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat FROM h, (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY doc_id),
 m AS (SELECT s.doc_id, n, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS symbols,
         len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS dup, coalesce(n_repeat, 0) AS n_repeat,
         length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS capitals,
-        len(list_filter(w, x -> list_contains([STOPS], x))) AS stops,
-        len(list_filter(ls, x -> regexp_matches(x, '^[\x20\x09-\x0D]*[-*•‣·]'))) AS bullets,
-        len(list_filter(ls, x -> regexp_matches(x, '(\.\.\.|…) *$'))) AS n_trail
+        len(list_filter(w, lambda x: list_contains([STOPS], x))) AS stops,
+        len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•‣·]'))) AS bullets,
+        len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…) *$'))) AS n_trail
       FROM s LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, n < 50 OR 100 * n_repeat > 50 * n AS failed, list_filter([
         CASE WHEN chars::DOUBLE / nullif(n, 0) < 2 OR chars::DOUBLE / nullif(n, 0) > 12 THEN 'mean word length' END,
@@ -121,7 +133,7 @@ b AS (SELECT *, n < 50 OR 100 * n_repeat > 50 * n AS failed, list_filter([
         CASE WHEN dup::DOUBLE / nullif(n_lines, 0) > 0.5 THEN 'repeated lines' END,
         CASE WHEN capitals::DOUBLE / nullif(letters, 0) > 0.5 THEN 'capitals per letter' END,
         CASE WHEN bullets::DOUBLE / nullif(n_lines, 0) > 0.9 THEN 'bulleted lines' END,
-        CASE WHEN n_trail::DOUBLE / nullif(n_lines, 0) > 0.3 THEN 'lines that trail off' END], x -> x IS NOT NULL) AS broken FROM m)
+        CASE WHEN n_trail::DOUBLE / nullif(n_lines, 0) > 0.3 THEN 'lines that trail off' END], lambda x: x IS NOT NULL) AS broken FROM m)
 SELECT doc_id, n AS n_words, chars AS word_chars, symbols AS n_symbols, dup AS n_dup_lines, n_repeat AS n_repeat_words, failed AS base_failed,
   NOT failed AND len(broken) = 0 AS kept, array_to_string(broken, '; ') AS broken_rules FROM b
 """
@@ -146,3 +158,27 @@ r AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.
       FROM l LEFT JOIN n USING (doc_id, i) LEFT JOIN g ON n.doc_id = g.doc_id AND n.k = g.k GROUP BY l.doc_id)
 SELECT doc_id, n_lines, n_removed AS n_removed_lines, md5(coalesce(kept, '')) AS kept_md5 FROM r
 """
+
+# a lower-case copy of A-Z alone; a text's 5-word shingles, or all of its words where it has fewer
+SQL["op6_minhash"] = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM common JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100 * c >= 75 * (p.n + q.n - c)),
+ends AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, ends.b FROM reach JOIN ends ON reach.y = ends.a),
+m AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""
+
+SQL["op9_substring_dedup"] = rf"""
+WITH t AS (SELECT doc_id, {_W} AS w FROM documents),
+s AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM t WHERE len(w) >= 35)),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM s),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM t),
+c AS (SELECT x.doc_id, p, word, max(CASE WHEN r.n > 1 THEN r.i END) OVER (PARTITION BY x.doc_id ORDER BY p) AS last FROM x LEFT JOIN r ON x.doc_id = r.doc_id AND x.p = r.i),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE p - last < 35) AS n_removed,
+        string_agg(word, ' ' ORDER BY p) FILTER (WHERE last IS NULL OR p - last >= 35) AS kept FROM c GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (doc_id)
+"""

@@ -80,7 +80,7 @@ def pieces(column, size: int = PIECE_BYTES):
 class Words:
     """The words of some texts. starts, ends: their bytes; first: n + 1 offsets of each text's words; hashes: 64 bits each."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = False, hashed: bool = True):
         self.data, n = data, len(data)
         solid = ~_SPACE[data]
         begins = np.zeros(n, dtype=bool)  # texts begin here
@@ -91,7 +91,7 @@ class Words:
         self.starts, self.ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self.fold = fold
-        self.hashes = self._hash()
+        self.hashes = self._hash() if hashed else None
 
     def _hash(self) -> np.ndarray:
         out, starts, ends = np.empty(len(self.starts), dtype=U64), self.starts, self.ends
