@@ -49,7 +49,7 @@ def register(name: str, model: dict | Callable, request: dict, sql: str, tables:
 
     QUERIES[name] = run
     if sql:
-        SQL[name] = sql
+        SQL[name] = nudged(sql)
 
 
 def plain(name: str, sql: str | None):
@@ -63,8 +63,26 @@ def plain(name: str, sql: str | None):
     return wrap
 
 
+#: Added before means are rounded to 4 places, here and in SQL: an exact half would go either way with the order of a sum.
+NUDGE = 3e-8
+
+
 def rounded(*cols: str, n: int = 4) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: df.withColumns({c: F.round(F.col(c), n) + F.lit(0.0) for c in cols})
+    return lambda df: df.withColumns({c: F.round(F.col(c) + F.lit(NUDGE if n == 4 else 0.0), n) + F.lit(0.0) for c in cols})
+
+
+def nudged(sql: str) -> str:
+    """SQL with NUDGE in each round(..., 4)."""
+    at = 0
+    while (at := sql.find("round(", at)) >= 0:
+        depth, end = 1, at + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        if sql[:end].endswith(", 4)"):
+            sql = f"{sql[: end - 4]} + {NUDGE}, 4){sql[end:]}"
+        at += 6
+    return sql
 
 
 # models on the tables as they are
