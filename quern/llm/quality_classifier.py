@@ -124,7 +124,7 @@ class Model:
 
 
 def fit(bounds: np.ndarray, ids: np.ndarray, values: np.ndarray, labels: np.ndarray, epochs: int = 8, rate: float = 0.1, decay: float = 1e-4, batch: int = 256, seed: int = 7) -> Model:
-    """Logistic loss by AdaGrad over shuffled batches; the same rows give the same model."""
+    """Logistic loss by AdaGrad over shuffled batches, both classes weighing the same; the same rows give the same model."""
     size = BUCKETS + STRUCTURE
     rng = np.random.default_rng(seed)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
@@ -132,6 +132,7 @@ def fit(bounds: np.ndarray, ids: np.ndarray, values: np.ndarray, labels: np.ndar
     if len(np.unique(labels)) < 2:
         model.vectors[:] = 0
         return model
+    model.bias, weight = 0.0, np.where(labels > 0.5, 0.5 / share, 0.5 / (1 - share))
     g_bias, g_w, g_v = 1e-6, np.full(size, 1e-6), np.full((size, RANK), 1e-6)
     for _ in range(epochs):
         order = rng.permutation(len(labels))
@@ -140,7 +141,7 @@ def fit(bounds: np.ndarray, ids: np.ndarray, values: np.ndarray, labels: np.ndar
             spans = [np.arange(bounds[r], bounds[r + 1]) for r in rows]
             take, b = np.concatenate(spans), np.concatenate([[0], np.cumsum([len(s) for s in spans])])
             i, x = ids[take], values[take]
-            err = (model.scores(b, i, x) - labels[rows]) / len(rows)
+            err = (model.scores(b, i, x) - labels[rows]) * weight[rows] / len(rows)
             own = np.repeat(np.arange(len(rows)), np.diff(b))
             v = model.vectors[i] * x[:, None]
             total = np.add.reduceat(v, b[:-1], axis=0)
