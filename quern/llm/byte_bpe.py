@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, ship
 
 #: Characters of a chunk without its overlap, and of the overlap.
 CHUNK, OVERLAP = 32_768, 1_024
@@ -132,6 +132,7 @@ _TYPES = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha25
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, keep_ids: bool = False, count_only: bool = False) -> DataFrame:
     """df without its text, with n_tokens and, unless only counts are wanted, ids_sha256, decoded_sha256 and, if asked for, ids of every text."""
+    ship(df.sparkSession)
     names = [n for n, _ in _TYPES][: 1 if count_only else 3 + keep_ids]
     carried = [c for c in df.columns if c != text and c.lower() not in names]
     src = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carried)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
@@ -194,6 +195,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", chunk: in
 
 def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """df with the bytes of each array of ids; null for null."""
+    ship(df.sparkSession)
     schema = df.drop(to).withColumn(to, F.lit(None).cast("binary")).schema
 
     def run(batches):

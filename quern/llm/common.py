@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,21 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a context, wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quern_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    if root.is_dir():  # else the package came in an archive that is shipped already
+        path = Path(tempfile.mkdtemp(prefix="quern-")) / "quern.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(path))
+    sc._quern_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of this machine's only where none is set, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)

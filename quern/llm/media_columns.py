@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
 from .textbytes import PIECE_BYTES, pieces
 
 UNIT = 192  # bytes of an ADPCM block, and of padding for all formats
@@ -137,6 +138,7 @@ def expand(payload: np.ndarray, kind: str) -> np.ndarray:
 
 
 def _ddl(df: DataFrame, *drop: str) -> tuple[list[str], str]:
+    ship(df.sparkSession)
     kept = [c for c in df.columns if c.lower() not in drop]
     return kept, "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in kept)
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
 from .textbytes import U64, Words, mix, pieces
 
 #: Labelled rows that a fit takes at most.
@@ -175,6 +176,7 @@ def _meta(batch: pa.RecordBatch, lo: int, hi: int) -> list[np.ndarray]:
 
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", text: str = "text", meta: tuple[str, ...] = (), sample: int = SAMPLE) -> Model:
     """A model from the rows of df that labels (key, label) has; at most `sample` of them."""
+    ship(df.sparkSession)
     chosen = labels.select(F.col(key).alias("c0"), F.col(label).cast("int").alias("y")).filter("c0 is not null and y is not null")
     chosen = chosen.orderBy(F.xxhash64(F.col("c0").cast("string")), "c0", "y").limit(sample)
     rows = _prepared(df, text, meta, [key]).join(F.broadcast(chosen), "c0")  # the sample is bounded
@@ -199,6 +201,7 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
 
 def score(df: DataFrame, model: Model, text: str = "text", meta: tuple[str, ...] = (), keep_text: bool = True) -> DataFrame:
     """df (without its text unless keep_text) with score, the estimated probability of label 1."""
+    ship(df.sparkSession)
     carried = [c for c in df.columns if c.lower() != "score" and (keep_text or c != text)]
     src = _prepared(df, text, meta, carried)
     ddl = ", ".join([f"c{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(carried)] + ["score double"])

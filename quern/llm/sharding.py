@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, own_name
+from .common import materialise, ship
 
 
 def sized(df: DataFrame, text: str = "text") -> DataFrame:
@@ -42,6 +42,7 @@ def _running(batches):
 
 def shard_by_bytes(df: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "text", slack: float = 0.02) -> DataFrame:
     """key, size, text_crc32, shard and slot (its place in the shard, from 0) for every row of df."""
+    ship(df.sparkSession)
     slim = sized(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).select("key", "size", "text_crc32", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
     slim = slim.withColumn("tie", F.monotonically_increasing_id())
     slim = materialise(slim, "shard-keys")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, ship
 from .textbytes import U64, Words, mix, pieces
 
 WINDOW = 35
@@ -209,6 +209,7 @@ def _covered(starts: list[bytes], n: int, window: int) -> np.ndarray:
 
 def repeated(df: DataFrame, text: str = "text", window: int = WINDOW, bits: int = FILTER_BITS) -> DataFrame:
     """k (the text's xxhash64) and starts (32-bit words of windows, packed), for texts with repeated windows; several rows a text."""
+    ship(df.sparkSession)
     block = (window + 1) // 2
     src = df.filter(F.col(text).isNotNull()).select(F.xxhash64(F.col(text)).alias("k"), F.col(text).alias("t"))
     once, twice = build_filter(src, block, bits)
