@@ -11,9 +11,10 @@ the share of equal places estimates the similarity as tightly as independent has
    none with a chance of 8e-6, less above. Each key joins its sets to its least set: as many candidates as sets, not pairs.
 3. Candidates are verified on their full sets, links give components.
 4. Sets of a key (of three or more) that aren't in one component after that are compared with each other, by sketches, in
-   blocks of BLOCK sets, so a large group becomes many small tasks; only pairs of two components whose estimate is at
-   least NEAR go on to verification. So no link is lost to the choice of the least set; and a group of thousands of
-   copies, in one component after step 3, isn't expanded.
+   blocks of BLOCK sets, so a large group becomes many small tasks. Pairs of two components whose estimate is at least
+   NEAR are verified: first, for a third of the keys, only each set's likeliest partner, which joins most of a large
+   group; then all pairs of what still isn't in one component. So no link is lost to the choice of the least
+   set or of partners, and a group of thousands of near copies isn't expanded into its pairs.
 
 Cases: texts without words have no set and are linked with nothing; fewer than 5 words are one shingle; A-Z count as a-z.
 Rows without a key are linked with nothing and kept. Rows that repeat a key are rows of their own; all of them are kept if
@@ -29,15 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import materialise
 from .components import components
 from .textbytes import U64, Words, mix, pieces
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 60, 6
 PLACES = BANDS * ROWS
-#: Sets that are compared at a time, and the least estimate of a pair that is verified (0.1, four standard deviations, below the threshold).
-BLOCK, NEAR = 256, 0.65
+#: Sets that are compared at a time, and the least estimate of a pair that is verified: four standard deviations of an
+#: estimate from 360 places below the threshold, so that one true pair in 30,000 is missed there, none above 0.8.
+BLOCK, NEAR = 256, 0.66
 #: Bits of the filter that picks texts for verification; of fixed size.
 FILTER_BITS = 1 << 26
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
@@ -164,19 +166,35 @@ def _verified(batches):
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _compare(batches):
-    """Pairs of two components in two blocks of a key whose sketches are near."""
-    for b in batches:
-        for r in b.to_pylist():
-            left, right = r["left"], r["right"]
-            ls = np.frombuffer(b"".join(x["short"] for x in left), np.uint8).reshape(len(left), -1)
-            rs = np.frombuffer(b"".join(x["short"] for x in right), np.uint8).reshape(len(right), -1)
-            found = set()
-            for k, x in enumerate(left):
-                near = np.flatnonzero(np.count_nonzero(rs == ls[k], axis=1) >= NEAR * ls.shape[1])
-                found.update((min(x["s"], right[j]["s"]), max(x["s"], right[j]["s"])) for j in near if right[j]["label"] != x["label"])
-            if found:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in found], pa.binary()), "b": pa.array([p[1] for p in found], pa.binary())})
+def _compare(best: bool):
+    """Pairs of two components in two blocks of a key whose sketches are near; best: for each set its likeliest partner alone."""
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                left, right = r["left"], r["right"]
+                ls = np.frombuffer(b"".join(x["short"] for x in left), np.uint8).reshape(len(left), -1)
+                rs = np.frombuffer(b"".join(x["short"] for x in right), np.uint8).reshape(len(right), -1)
+                names = {n: k for k, n in enumerate({x["label"] for x in left} | {x["label"] for x in right})}
+                ln, rn = (np.array([names[x["label"]] for x in side]) for side in (left, right))
+                equal = np.stack([np.count_nonzero(rs == row, axis=1) for row in ls])
+                equal[(ln[:, None] == rn[None, :]) | (equal < NEAR * ls.shape[1])] = 0
+                sizes = [np.array([x["n"] for x in side]) for side in (left, right)]
+                small, large = np.minimum.outer(*sizes), np.maximum.outer(*sizes)
+                equal[100 * small < PERCENT * large] = 0  # a set can't be that near one so much larger
+                if best:
+                    rows, cols = np.arange(len(left)), equal.argmax(axis=1)
+                    other, own = equal.argmax(axis=0), np.arange(len(right))
+                    rows, cols = np.append(rows, other), np.append(cols, own)
+                    some = equal[rows, cols] > 0
+                    rows, cols = rows[some], cols[some]
+                else:
+                    rows, cols = np.nonzero(equal)
+                found = {(min(x, y), max(x, y)) for x, y in ((left[i]["s"], right[j]["s"]) for i, j in zip(rows.tolist(), cols.tolist(), strict=True))}
+                if found:
+                    yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in found], pa.binary()), "b": pa.array([p[1] for p in found], pa.binary())})
+
+    return run
 
 
 def _pick_sets(df: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -210,12 +228,20 @@ def _pick_sets(df: DataFrame, wanted: DataFrame) -> DataFrame:
     return full.join(wanted, "k").groupBy("s").agg(F.first("full").alias("full"))
 
 
-def _links(texts: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, full: DataFrame) -> DataFrame:
     """The pairs (a, b) that hold on full sets."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-    full = materialise(_pick_sets(texts, materialise(sets.select("s", "k").join(ends, "s", "left_semi"), "wanted")), "full-sets")
     both = pairs.join(full.select(F.col("s").alias("a"), F.col("full").alias("x")), "a").join(full.select(F.col("s").alias("b"), F.col("full").alias("y")), "b")
-    return materialise(both.mapInArrow(_verified, "a binary, b binary"), "links")
+    return both.mapInArrow(_verified, "a binary, b binary")
+
+
+def _open_blocks(member: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of blocks (left, right) of the keys whose sets are in several components; member: key, block, s."""
+    known = member.join(labels.withColumnRenamed("node", "s"), "s", "left").select("key", "block", "s", F.coalesce("label", "s").alias("label"))
+    still = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    still = known.join(still, "key", "left_semi").join(sets.select("s", "short", "n"), "s")
+    blocks = materialise(still.groupBy("key", "block").agg(F.collect_list(F.struct("s", "label", "short", "n")).alias("sets")), "open-blocks")  # BLOCK at most
+    sides = blocks.select("key", F.col("block").alias("i"), F.col("sets").alias("left")).join(blocks.select("key", F.col("block").alias("j"), F.col("sets").alias("right")), "key")
+    return sides.filter("i <= j").select("left", "right")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
@@ -225,7 +251,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", keep
     src = df.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("k"), F.col(text).alias("t"))
     texts = src.filter("id is not null")
     sketched = materialise(texts.mapInArrow(_sketch, f"id {df.schema[key].dataType.simpleString()}, k bigint, n_shingles bigint, s binary, bands binary, short binary"), "sketches")
-    sets = materialise(sketched.filter("s is not null").groupBy("s").agg(F.max("bands").alias("bands"), F.max("short").alias("short"), F.min("k").alias("k")), "sets")
+    sets = materialise(sketched.filter("s is not null").groupBy("s").agg(F.max("bands").alias("bands"), F.max("short").alias("short"), F.max("n_shingles").alias("n"), F.min("k").alias("k")), "sets")
     buckets = max(32, sets.count() // 20_000)
 
     def deal(batches):
@@ -233,21 +259,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", keep
 
     met = materialise(sets.select("s", "bands").mapInArrow(deal, "bucket int, entries binary").groupBy("bucket").applyInArrow(_meet, "kind tinyint, a binary, b binary, key bigint, block int, members array<binary>"), "bands")
     pairs = materialise(met.filter("kind = 0").select("a", "b").distinct(), "candidates")
-    links = _links(texts, sets, pairs)
-    labels = materialise(components(links), "labels")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    full = materialise(_pick_sets(texts, materialise(sets.select("s", "k").join(ends, "s", "left_semi"), "wanted")), "full-sets")
+    labels = materialise(components(_links(pairs, full)), "labels")
 
     # what the least sets have not settled: keys whose sets are in several components
     member = met.filter("kind = 1").select("key", "block", F.explode("members").alias("s"))
-    member = member.join(labels.withColumnRenamed("node", "s"), "s", "left").select("key", "block", "s", F.coalesce("label", "s").alias("label"))
-    open_keys = member.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    still = member.join(open_keys, "key", "left_semi").join(sets.select("s", "short"), "s")
-    blocks = materialise(still.groupBy("key", "block").agg(F.collect_list(F.struct("s", "label", "short")).alias("sets")), "open-blocks")  # BLOCK at most
-    sides = blocks.select("key", F.col("block").alias("i"), F.col("sets").alias("left")).join(blocks.select("key", F.col("block").alias("j"), F.col("sets").alias("right")), "key").filter("i <= j")
-    more = sides.select("left", "right").mapInArrow(_compare, "a binary, b binary").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = materialise(more, "candidates")
-    if not more.isEmpty():
-        links = links.unionByName(_links(texts, sets, more))
-        labels = materialise(components(links), "labels")
+    for some, best in ((F.pmod("key", F.lit(3)) == 0, True), (F.lit(True), False)):
+        more = _open_blocks(member.filter(some), labels, sets).mapInArrow(_compare(best), "a binary, b binary").distinct()
+        more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "candidates")
+        if more.isEmpty():
+            continue
+        pairs = pairs.unionByName(more)
+        found = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(_links(more, full))
+        labels = materialise(components(found), "labels")
 
     joined = sketched.select("id", "k", "n_shingles", "s").join(labels.withColumnRenamed("node", "s"), "s", "left").select("id", "k", "n_shingles", F.coalesce("label", "s").alias("label"))
     least = joined.filter("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
