@@ -79,5 +79,21 @@ def own_name(df: DataFrame, stem: str) -> str:
     return next(n for n in (f"{stem}{'_' * k}" for k in range(1, 99)) if n.lower() not in taken)
 
 
+def shielded(df: DataFrame, *names: str):
+    """df with columns of these names called something else, and a function that gives a frame its names back."""
+    moved = {}
+    for c in df.columns:
+        if c.lower() in names:
+            moved[c] = own_name(df, f"__own_{c}")
+            df = df.withColumnRenamed(c, moved[c])
+
+    def restored(out: DataFrame) -> DataFrame:
+        for c, n in moved.items():
+            out = out.withColumnRenamed(n, c)
+        return out
+
+    return df, restored
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import SPACES, shielded
 
 RUN = 3
 
@@ -54,6 +54,7 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", run:
 
 def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
     """df with the lines that remain in its text, n_lines (with a word, before) and n_removed_lines."""
+    df, restored = shielded(df, "_key", "_hash", "removed")
     gone = repeated_lines(df, key, text, run).select(F.col("key").alias("_key"), F.col("hash").alias("_hash"), "removed")
     t = F.col(f"`{text}`")
     joined = df.join(gone, df[key].eqNullSafe(gone["_key"]) & (F.xxhash64(df[text]) == gone["_hash"]), "left")
@@ -61,4 +62,4 @@ def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", run: int
     n = F.size(F.filter(F.split(F.coalesce(t, F.lit("")), "\n"), _nonblank)).cast("long")
     out = joined.withColumns({"n_lines": n, "n_removed_lines": F.coalesce(F.size("removed"), F.lit(0)).cast("long")})
     out = out.withColumn(text, F.when(F.col("removed").isNotNull(), kept).otherwise(t))
-    return out.drop("_key", "_hash", "removed")
+    return restored(out.drop("_key", "_hash", "removed"))

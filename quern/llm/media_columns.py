@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import own_name, ship
 from .textbytes import PIECE_BYTES, pieces
 
 UNIT = 192  # bytes of an ADPCM block, and of padding for all formats
@@ -146,7 +146,7 @@ def _ddl(df: DataFrame, *drop: str) -> tuple[list[str], str]:
 def to_media(df: DataFrame, text: str = "text", kind: str | None = None) -> DataFrame:
     """df without its text, with n_bytes and media. kind None: a format for each text, by its checksum, so all are used."""
     kept, ddl = _ddl(df, text.lower(), "n_bytes", "media")
-    src = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_media_text"))
+    src = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(own_name(df, "text")))
 
     def run(batches):
         for b in batches:
@@ -192,7 +192,7 @@ def _signals(rows) -> list[tuple[np.ndarray, int]]:
 def to_pcm(df: DataFrame, media: str = "media") -> DataFrame:
     """df with pcm (16-bit little-endian samples) and pcm_rate in place of media."""
     kept, ddl = _ddl(df, media.lower(), "pcm", "pcm_rate")
-    src = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{media}`").alias("_media"))
+    src = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{media}`").alias(own_name(df, "media")))
 
     def run(batches):
         for b in batches:
@@ -217,7 +217,7 @@ def describe(df: DataFrame, media: str = "media") -> DataFrame:
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     kept, ddl = _ddl(df, media.lower(), *names)
-    src = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{media}`").alias("_media"))
+    src = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{media}`").alias(own_name(df, "media")))
 
     def run(batches):
         for b in batches:

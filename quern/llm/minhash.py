@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, shielded, ship
 from .components import components
 from .textbytes import U64, Words, mix, pieces
 
@@ -246,7 +246,9 @@ def _open_blocks(member: DataFrame, labels: DataFrame, sets: DataFrame) -> DataF
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
     """df (without its text unless keep_text) with n_shingles, component_id (the least key among the texts that links join to it) and kept (whether that is its own)."""
+    ship(df.sparkSession)
     results = ("n_shingles", "component_id", "kept")
+    df, restored = shielded(df, "_id", "_k")
     carried = [c for c in df.columns if c.lower() not in results and (keep_text or c != text)]
     src = df.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("k"), F.col(text).alias("t"))
     texts = src.filter("id is not null")
@@ -293,5 +295,5 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", keep
 
     lone = lone.mapInArrow(count, ", ".join([f"c{n} {df.schema[c].dataType.simpleString()}" for n, c in enumerate(carried)] + ["n bigint"]))
     lone = lone.select(*[F.col(f"c{n}").alias(c) for n, c in enumerate(carried)], F.col("n").alias("n_shingles"), F.lit(None).cast(df.schema[key].dataType).alias("component_id"))
-    out = own.unionByName(lone)
+    out = restored(own.unionByName(lone))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))

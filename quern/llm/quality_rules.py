@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, SPACES, let, words
+from .common import SPACES, let, shielded, words
 
 # The symbols that the contract counts, and frequent function words of four languages.
 SYMBOLS = "#*$%&|<>"
@@ -86,6 +86,7 @@ def _with_repeat_words(df: DataFrame, w: str, n: int = 3) -> DataFrame:
 
 def with_statistics(df: DataFrame, text: str = "text", symbols: str = SYMBOLS, stop_words=tuple(STOP_WORDS)) -> DataFrame:
     """df with the statistics of each text; narrow projections only."""
+    df, restored = shielded(df, "_words", "_lines", "_sorted", "_pairs")
     t = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumns({"_words": words(F.col(text)), "_lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     w, lines = F.col("_words"), F.col("_lines")
@@ -105,7 +106,7 @@ def with_statistics(df: DataFrame, text: str = "text", symbols: str = SYMBOLS, s
         "n_ellipsis_lines": F.size(F.filter(lines, lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))).cast("long"),
     }).drop("_words", "_lines")
     n, m = F.col("n_words"), F.col("n_lines")
-    return df.withColumns({
+    return restored(df).withColumns({
         "mean_word_chars": share(F.col("word_chars"), n), "symbol_ratio": share(F.col("n_symbols"), n),
         "letter_ratio": share(F.col("n_letters"), F.col("word_chars")), "stop_ratio": share(F.col("n_stop_words"), n),
         "capital_ratio": share(F.col("n_capitals"), F.col("n_letters")), "dup_line_ratio": share(F.col("n_dup_lines"), m),
