@@ -1,6 +1,6 @@
 """MinHash near-dedup: fast similarity sketches, banding, verification on full sets, components.
 
-A set is a text's distinct 5-word shingles. Its sketch has BANDS * ROWS places. In round r every shingle draws one place
+A set is a text's distinct 5-word shingles. Its sketch has PLACES places. In round r every shingle draws one place
 and a value in [r, r + 1), and each place keeps its least value; so a place that is filled never changes later, and rounds
 end once all are filled. If after as many rounds as places some are still empty, round places + j fills place j from all
 shingles. Filling takes about places * ln(places) draws in all, however small the set, instead of places * shingles, and
@@ -36,10 +36,11 @@ from .textbytes import U64, Words, mix, pieces
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 60, 6
-PLACES = BANDS * ROWS
+#: Places of a sketch: the bands take the first, estimates all.
+PLACES = 2 * BANDS * ROWS
 #: Sets that are compared at a time, and the least estimate of a pair that is verified: four standard deviations of an
-#: estimate from 360 places below the threshold, so that one true pair in 30,000 is missed there, none above 0.8.
-BLOCK, NEAR = 256, 0.66
+#: estimate from 720 places below the threshold, so that one true pair in 30,000 is missed there, none above 0.8.
+BLOCK, NEAR = 256, 0.685
 #: Bits of the filter that picks texts for verification; of fixed size.
 FILTER_BITS = 1 << 26
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
@@ -81,10 +82,10 @@ def sketches(h: np.ndarray, first: np.ndarray, places: int = PLACES) -> np.ndarr
     return out
 
 
-def band_keys(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def band_keys(sketch: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """Sets x bands of 64-bit keys; a key holds its band."""
     odd = mix(np.arange(1, rows + 1, dtype=U64)) | U64(1)
-    bands = sketch.reshape(len(sketch), -1, rows)
+    bands = sketch[:, : bands * rows].reshape(len(sketch), -1, rows)
     return mix((mix(bands) * odd).sum(axis=2, dtype=U64) + mix(np.arange(bands.shape[1], dtype=U64)))
 
 
