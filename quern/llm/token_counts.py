@@ -13,14 +13,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import encode
+from .common import materialise
 
 #: Lengths of one block; suffix sums run inside blocks and over the blocks' totals, so no task sees all lengths.
 BLOCK = 1024
 
 
 def histogram(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """n_tokens and n_docs, a row for each length that occurs."""
-    return encode(df.select(F.col(text).alias("text")), path, pattern, count_only=True).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    """n_tokens and n_docs, a row for each length that occurs; written out, so that texts are encoded once however it is used."""
+    lengths = encode(df.select(F.col(text).alias("text")), path, pattern, count_only=True)
+    return materialise(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "length-histogram")
 
 
 def suffix_sums(hist: DataFrame, block: int = BLOCK) -> DataFrame:
