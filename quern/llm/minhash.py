@@ -190,7 +190,12 @@ def _compare(best: bool):
                     some = equal[rows, cols] > 0
                     rows, cols = rows[some], cols[some]
                 else:
+                    # a pair comes from the first key that its sets share alone; one of two sets was a candidate before
                     rows, cols = np.nonzero(equal)
+                    lk, rk = (np.frombuffer(b"".join(x["bands"] for x in side), np.int64).reshape(len(side), -1) for side in (left, right))
+                    shared = (lk[rows] == rk[cols]).argmax(axis=1)
+                    first = lk[rows, shared] == r["key"]
+                    rows, cols = rows[first], cols[first]
                 found = {(min(x, y), max(x, y)) for x, y in ((left[i]["s"], right[j]["s"]) for i, j in zip(rows.tolist(), cols.tolist(), strict=True))}
                 if found:
                     yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in found], pa.binary()), "b": pa.array([p[1] for p in found], pa.binary())})
@@ -236,13 +241,13 @@ def _links(pairs: DataFrame, full: DataFrame) -> DataFrame:
 
 
 def _open_blocks(member: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of blocks (left, right) of the keys whose sets are in several components; member: key, block, s."""
+    """key and pairs of blocks (left, right) of the keys whose sets are in several components; member: key, block, s."""
     known = member.join(labels.withColumnRenamed("node", "s"), "s", "left").select("key", "block", "s", F.coalesce("label", "s").alias("label"))
     still = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    still = known.join(still, "key", "left_semi").join(sets.select("s", "short", "n"), "s")
-    blocks = materialise(still.groupBy("key", "block").agg(F.collect_list(F.struct("s", "label", "short", "n")).alias("sets")), "open-blocks")  # BLOCK at most
+    still = known.join(still, "key", "left_semi").join(sets.select("s", "short", "n", "bands"), "s")
+    blocks = materialise(still.groupBy("key", "block").agg(F.collect_list(F.struct("s", "label", "short", "n", "bands")).alias("sets")), "open-blocks")  # BLOCK at most
     sides = blocks.select("key", F.col("block").alias("i"), F.col("sets").alias("left")).join(blocks.select("key", F.col("block").alias("j"), F.col("sets").alias("right")), "key")
-    return sides.filter("i <= j").select("left", "right")
+    return sides.filter("i <= j").select("key", "left", "right")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
