@@ -161,6 +161,32 @@ def test_line_dedup_equals_brute_force(spark, run):
     assert Counter((r.doc_id, r.text, r.n_removed_lines) for r in got.collect()) == want
 
 
+def test_repeated_lines_of_many_words_are_runs_where_asked(spark):
+    rng = random.Random(6)
+    some = [" ".join(rng.choices("abcdefgh", k=n)) for n in (60, 51, 50, 30, 25, 20, 2)]
+    data = [(k, "\n".join(rng.choice([*some, "", f"own {k}"]) for _ in range(rng.randint(1, 5))), "en", "s", 1, 1, "h") for k in range(40)]
+    data += [(50, some[0], "en", "s", 1, 1, "h"), (51, f" {some[0]}\t\nthat is new", "en", "s", 1, 1, "h"), (None, some[1], "en", "s", 1, 1, "h"), data[3], (53, some[2], "en", "s", 1, 1, "h"), (54, None, "en", "s", 1, 1, "h")]
+    gone, places = brute_lines(data), {}
+    for key, text in sorted({(x[0], x[1]) for x in data if x[1] is not None}, key=lambda p: (p[0] is not None, p[0] or 0)):
+        own = [(i, s.strip(" \t\n\x0b\x0c\r")) for i, s in enumerate(text.split("\n"))]
+        own = [x for x in own if x[1]]
+        for n in (1, 2):
+            for k in range(len(own) - n + 1):
+                if sum(len(s.split()) for _, s in own[k : k + n]) > 50:
+                    places.setdefault(tuple(s for _, s in own[k : k + n]), []).append((key, text, own[k : k + n]))
+    for found in places.values():
+        for key, text, part in found[1:]:
+            gone.setdefault((key, text), set()).update(i for i, _ in part)
+    assert gone[51, data[41][1]] == {0} and (53, some[2]) not in gone
+    want = Counter()
+    for key, text, *_ in data:
+        out = gone.get((key, text), set())
+        want[key, None if text is None else "\n".join(s for i, s in enumerate(text.split("\n")) if i not in out), len(out)] += 1
+    got = line_dedup.line_dedup(frame(spark, data), words=50)
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert Counter((r.doc_id, r.text, r.n_removed_lines) for r in got.collect()) == want
+
+
 def test_line_dedup_is_native_and_takes_no_rows(spark):
     assert "Python" not in line_dedup.line_dedup(frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert line_dedup.line_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
