@@ -17,8 +17,9 @@ the share of equal places estimates the similarity as tightly as independent has
    set or of partners, and a group of thousands of near copies isn't expanded into its pairs.
 
 Cases: texts without words have no set and are linked with nothing; fewer than 5 words are one shingle; A-Z count as a-z.
-Rows without a key are linked with nothing and kept. Rows that repeat a key are rows of their own; all of them are kept if
-the key is their component's least. Other columns are carried along. An empty table gives no rows.
+For near_duplicates(), rows without a key are linked with nothing and kept, and rows that repeat a key are rows of their own;
+all of them are kept if the key is their component's least. one_of_each() links rows without a key like others and keeps
+one row. Other columns are carried along. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -250,15 +251,9 @@ def _open_blocks(member: DataFrame, labels: DataFrame, sets: DataFrame) -> DataF
     return sides.filter("i <= j").select("key", "left", "right")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
-    """df (without its text unless keep_text) with n_shingles, component_id (the least key among the texts that links join to it) and kept (whether that is its own)."""
-    ship(df.sparkSession)
-    results = ("n_shingles", "component_id", "kept")
-    df, restored = shielded(df, "_id", "_k")
-    carried = [c for c in df.columns if c.lower() not in results and (keep_text or c != text)]
-    src = df.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("k"), F.col(text).alias("t"))
-    texts = src.filter("id is not null")
-    sketched = materialise(texts.mapInArrow(_sketch, f"id {df.schema[key].dataType.simpleString()}, k bigint, n_shingles bigint, s binary, bands binary, short binary"), "sketches")
+def _labelled(texts: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """The texts (id, of that type, k and t) as id, k, n_shingles and s, and the components (node, label) of sets that are linked."""
+    sketched = materialise(texts.mapInArrow(_sketch, f"id {kind}, k bigint, n_shingles bigint, s binary, bands binary, short binary"), "sketches")
     sets = materialise(sketched.filter("s is not null").groupBy("s").agg(F.max("bands").alias("bands"), F.max("short").alias("short"), F.max("n_shingles").alias("n"), F.min("k").alias("k")), "sets")
     buckets = max(32, sets.count() // 20_000)
 
@@ -281,8 +276,42 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", keep
         pairs = pairs.unionByName(more)
         found = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(_links(more, full))
         labels = materialise(components(found), "labels")
+    return sketched.select("id", "k", "n_shingles", "s"), labels
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df that stay where one row of each component may: the first by key (none last), text hash and all other columns.
+
+    Rows without a key are linked by their sets like others, and rows that repeat a key and its text are one row. Texts without
+    words are linked with nothing, so those without a key all stay.
+    """
+    ship(df.sparkSession)
+    sketched, labels = _labelled(df.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("k"), F.col(text).alias("t")), df.schema[key].dataType.simpleString())
+    places = sketched.groupBy("id", "k", "s").agg(F.count("*").alias("n"))
+    joined = places.join(labels.withColumnRenamed("node", "s"), "s", "left").select("id", "k", "n", F.coalesce("label", "s").alias("label"))
+    first = joined.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("lone"), "id", "k", "n")).alias("f")).select("f.id", "f.k", "f.n")
+    alone = joined.filter("label is null").select("id", "k", F.when(F.col("id").isNull(), F.lit(1)).otherwise(F.col("n")).alias("n"))
+    chosen = materialise(first.unionByName(alone), "chosen")
+
+    def rows(of):
+        return df.join(of, df[key].eqNullSafe(of["id"]) & (F.xxhash64(df[text]) == of["k"]), "left_semi")
+
+    out, repeated = rows(chosen.filter("n = 1")), chosen.filter("n > 1")
+    if repeated.isEmpty():
+        return out
+    least = rows(repeated).groupBy(F.col(key).alias("_id"), F.xxhash64(F.col(text)).alias("_k")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("_row"))
+    return out.unionByName(least.select("_row.*"))
 
-    joined = sketched.select("id", "k", "n_shingles", "s").join(labels.withColumnRenamed("node", "s"), "s", "left").select("id", "k", "n_shingles", F.coalesce("label", "s").alias("label"))
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
+    """df (without its text unless keep_text) with n_shingles, component_id (the least key among the texts that links join to it) and kept (whether that is its own)."""
+    ship(df.sparkSession)
+    results = ("n_shingles", "component_id", "kept")
+    df, restored = shielded(df, "_id", "_k")
+    carried = [c for c in df.columns if c.lower() not in results and (keep_text or c != text)]
+    src = df.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("k"), F.col(text).alias("t"))
+    sketched, labels = _labelled(src.filter("id is not null"), df.schema[key].dataType.simpleString())
+    joined = sketched.join(labels.withColumnRenamed("node", "s"), "s", "left").select("id", "k", "n_shingles", F.coalesce("label", "s").alias("label"))
     least = joined.filter("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
     rows = joined.join(least, "label", "left").select("id", "k", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     if carried == [key]:

@@ -140,6 +140,26 @@ def test_the_near_stage_equals_brute_force(stages):
     assert all(r["text"] == text[r["doc_id"]] for r in after)
 
 
+def test_the_near_stage_keeps_one_row_whatever_its_id(spark):
+    base = [f"b{k}" for k in range(200)]
+    left, right = (" ".join(f"{side}{k}" if k in at else w for k, w in enumerate(base)) for side, at in (("l", range(10, 60, 10)), ("r", range(110, 160, 10))))
+    bridge, lone, twice = " ".join(base), " ".join(f"n{k}" for k in range(80)), " ".join(f"t{k}" for k in range(80))
+    docs = spark.createDataFrame([
+        (7, left, "en", "s", 1), (3, right, "en", "s", 1), (None, bridge, "en", "s", 1),  # joined by the row without an id alone
+        *[(None, lone, "en", "s", 1)] * 3, (None, f"{lone} more", "en", "s", 1),
+        (9, twice, "en", "z", 1), (9, twice, "en", "a", 1), (9, twice, "en", "a", 1), (12, twice, "en", "a", 1), (9, f"{twice} more", "en", "a", 1),
+        (20, "", "en", "s", 0), (20, "", "en", "s", 0), (21, "", "en", "s", 0), (None, " ", "en", "s", 0), (None, " ", "en", "s", 0), (22, None, "en", "s", None),
+    ], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.near(spark, docs, "")
+    assert got.columns == docs.columns
+    got = sorted((tuple(r)[:4] for r in got.collect()), key=str)
+    worded = [r for r in got if (r[1] or "").strip()]
+    assert len(worded) == 3 and (3, right, "en", "s") in worded
+    assert [r[0] for r in worded if r[1].startswith(lone)] == [None]
+    assert [(r[0], r[3]) for r in worded if r[1].startswith(twice)] == [(9, "a")]
+    assert [r for r in got if not (r[1] or "").strip()] == sorted([(20, "", "en", "s"), (21, "", "en", "s"), (None, " ", "en", "s"), (None, " ", "en", "s"), (22, None, "en", "s")], key=str)
+
+
 def test_the_mix_stage_takes_what_the_targets_say(stages):
     before, after = both(stages, "mix")
     sizes = Counter()
