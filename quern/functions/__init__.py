@@ -129,12 +129,13 @@ for _p in ("year", "quarter", "month", "day", "hour", "minute", "second", "week"
     register(_p, 1, 1, lambda x, p=_p: _part(p, x))
 
 
-#: Aggregates by name: x (a Column), then literal arguments. States say how partial results merge.
+#: Aggregates by name: x (a Column), then literal arguments. States say how partial results merge. No first and last: an
+#: aggregate sees no order of rows; semi-additive measures and accessors do.
 AGGREGATES: dict[str, Callable[..., Column]] = {
     "sum": F.sum, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max, "count_distinct": F.count_distinct,
     "median": F.median, "stddev": F.stddev, "stddev_pop": F.stddev_pop, "variance": F.variance, "var_pop": F.var_pop,
     "percentile_cont": lambda x, p=0.5: F.percentile(x, F.lit(float(p))), "string_agg": lambda x, sep=",": F.array_join(F.sort_array(F.collect_list(x)), sep),
-    "approx_count_distinct": F.approx_count_distinct, "first": F.min, "last": F.max,
+    "approx_count_distinct": F.approx_count_distinct,
 }
 SPELLINGS = {"std_dev": "stddev", "stddev_samp": "stddev", "var_samp": "variance", "average": "avg", "mean": "avg", "countdistinct": "count_distinct", "substr": "substring", "ceiling": "ceil", "pow": "power", "to_timestamp_ntz": "to_timestamp", "datediff": "date_diff", "dateadd": "date_add", "startswith": "starts_with", "endswith": "ends_with", "char_length": "length", "listagg": "string_agg"}
 

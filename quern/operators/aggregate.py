@@ -12,7 +12,7 @@ from ..functions import AGGREGATES
 from ..model import Measure
 from ..plans.context import AXIS, INPUT, Plan, quoted
 
-_MERGE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max, "first": F.min, "last": F.max}
+_MERGE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 
 
 def state(m: Measure) -> Column:

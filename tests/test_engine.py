@@ -207,3 +207,13 @@ def test_files_of_several_formats(spark, tmp_path):
 def test_requests_are_parsed_once():
     r = request({"from": "a", "select": ["x", {"name": "d", "grain": "day"}], "order_by": ["-x", ("d", "asc", "last")]})
     assert request(r) is r and r.grains == (("d", "day"),) and r.order_by[0].descending and r.order_by[1].nulls == "last"
+
+
+@pytest.mark.parametrize("agg", ["first", "last"])
+def test_first_and_last_are_no_aggregates(agg):
+    """They would need an order of rows; the least and greatest values are something else."""
+    with pytest.raises(ModelError) as e:
+        load({"name": "m", "datasets": [{"name": "d", "dimensions": [], "measures": [{"name": "x", "agg": agg}]}]})
+    assert e.value.code == "MODEL_E_AGG"
+    with pytest.raises(ModelError):
+        build(parse(f"{agg}(v)"), F.col)
