@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -46,31 +47,90 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine's only where none is set, as in tests."""
+    """The folder that driver and executors share. Where none is set, one of this machine's, if all of Spark runs in this process; else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='quern-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage, survives lost executors, and is computed once."""
+    """Write df to the shared folder and read it again: cuts the lineage, survives lost executors, and is computed once.
+
+    The tables of an application lie in a folder of its own, which goes when this process ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern/{tag}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    own = f"{shared_dir(spark)}/quern/{sc.applicationId}"
+    if own not in _FOLDERS:
+        _FOLDERS[own] = sc._jvm, sc._jsc.hadoopConfiguration()
+    path = f"{own}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_FOLDERS: dict[str, tuple] = {}
+
+
+def _delete(name: str, jvm, conf) -> None:
+    path = jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(conf).delete(path, True)
+
+
+@atexit.register
+def _leave_nothing() -> None:
+    for name, (jvm, conf) in _FOLDERS.items():
+        try:
+            _delete(name, jvm, conf)
+        except Exception:  # noqa: BLE001 - the JVM may be gone already
+            pass
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what materialise() wrote for these frames, once nothing reads them any more."""
     for df in frames:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
+        sc = df.sparkSession.sparkContext
         for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(name)
             if "/quern/" in name:
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                _delete(name, sc._jvm, sc._jsc.hadoopConfiguration())
+
+
+#: Words of 64 bits in one part of a filter, and the most bits of a filter (8 MB).
+_PART, MOST_BITS = 4096, 1 << 26
+
+
+def member_filter(hashes: DataFrame):
+    """A native test of 64-bit hashes, as a function from Column to Column: true for all in `hashes` (one column) and by chance for some others.
+
+    16 bits a member, but 8 MB at most, so it may go to all tasks whatever the number of members. Past 4 million members more
+    and more others pass; what passes must be joined with the members anyway, so that costs shuffle, not results.
+    """
+    spark = hashes.sparkSession
+    members = hashes.toDF("h")
+    bits = 1 << min(max((16 * members.count()).bit_length(), 18), MOST_BITS.bit_length() - 1)
+    place = F.pmod("h", F.lit(bits))
+    some = members.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(h, 64) AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    every = spark.range(bits // 64).withColumnRenamed("id", "word").join(some, "word", "left").select(F.expr(f"word div {_PART}").alias("part"), F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")).alias("w"))
+    parts = every.groupBy("part").agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["bits"]).alias("words"))  # _PART of them
+    table = materialise(parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "words"))), lambda x: x["words"]).alias("parts")), "filter").scalar()
+
+    def test(h: Column) -> Column:
+        at = F.pmod(h, F.lit(bits))
+        word = F.shiftright(at, 6)
+        return F.getbit(F.get(F.get(table, F.shiftright(word, _PART.bit_length() - 1).cast("int")), F.pmod(word, F.lit(_PART)).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1
+
+    return test
+
+
+def salted_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left", salt: int = 8) -> DataFrame:
+    """rows joined with a table of one row a key, where any key may have a large share of the rows: they are dealt to `salt` copies of the table's."""
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c not in on]), F.lit(salt)))
+    right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
 def own_name(df: DataFrame, stem: str) -> str:

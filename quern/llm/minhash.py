@@ -8,18 +8,23 @@ the share of equal places estimates the similarity as tightly as independent has
 
 1. Sketch every text; equal sets are one set from here on, so groups of copies never meet in the bands.
 2. Sets that agree on all ROWS places of a band share a key. With 6 rows and 60 bands a pair at similarity 0.75 shares
-   none with a chance of 8e-6, less above. Each key joins its sets to its least set: as many candidates as sets, not pairs.
-3. Candidates are verified on their full sets, links give components.
-4. Sets of a key (of three or more) that aren't in one component after that are compared with each other, by sketches, in
-   blocks of BLOCK sets, so a large group becomes many small tasks. Pairs of two components whose estimate is at least
-   NEAR are verified: first, for a third of the keys, only each set's likeliest partner, which joins most of a large
-   group; then all pairs of what still isn't in one component. So no link is lost to the choice of the least
-   set or of partners, and a group of thousands of near copies isn't expanded into its pairs.
+   none with a chance of 8e-6, less above; `bands` lowers it further (6e-11 with 120). Of the sets of a key in one batch of
+   input only the least goes on to the key's bucket, with the others as its candidates; there the least of these has the
+   other batches' as candidates. So a key gives as many candidates as it has sets, and no task sees all sets of a hot key.
+3. Candidates are verified on their full sets, up to FULL shingles in one task; links give components.
+4. Keys whose sets aren't all in one component after that are compared in full: their sets are dealt by hash to blocks of
+   about BLOCK sets or FULL shingles, and each pair of blocks is a task that counts common shingles exactly, by products of
+   incidence matrices. It returns what joins components with each other, a row for each component that it joins, never
+   pairs of sets. A third of the keys goes first, which joins most of a large group; then the others that are still open.
+
+So a key's sets are compared exactly whatever their number and however near the threshold they are; only banding may miss
+a link. Where a large group lies below the threshold its blocks are compared pairwise, which takes time, but moves no pairs.
 
 Cases: texts without words have no set and are linked with nothing; fewer than 5 words are one shingle; A-Z count as a-z.
 For near_duplicates(), rows without a key are linked with nothing and kept, and rows that repeat a key are rows of their own;
 all of them are kept if the key is their component's least. one_of_each() links rows without a key like others and keeps
-one row. Other columns are carried along. An empty table gives no rows.
+one row. Other columns are carried along. Texts of any length are taken whole, one at a time if they are longer than
+PIECE_BYTES. An empty table gives no rows. Shingles are known by 64 bits inside a text or a pair, sets by 128.
 """
 
 from __future__ import annotations
@@ -31,20 +36,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shielded, ship
+from .common import discard, materialise, member_filter, salted_join, shielded, ship
 from .components import components
 from .textbytes import U64, Words, mix, pieces
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 60, 6
-#: Places of a sketch: the bands take the first, estimates all.
-PLACES = 2 * BANDS * ROWS
-#: Sets that are compared at a time, and the least estimate of a pair that is verified: four standard deviations of an
-#: estimate from 720 places below the threshold, so that one true pair in 30,000 is missed there, none above 0.8.
-BLOCK, NEAR = 256, 0.685
-#: Bits of the filter that picks texts for verification; of fixed size.
-FILTER_BITS = 1 << 26
+#: Places of a sketch.
+PLACES = BANDS * ROWS
+#: Sets and shingles of one block of a key's sets, about.
+BLOCK, FULL = 256, 1 << 19
+#: Sets of one batch of input, and of one bucket of keys.
+BATCH, BUCKET = 4096, 20_000
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
+#: A set under a key: its name in two halves and its size; MANY marks one that stands for others of its batch.
+_ENTRY = np.dtype([("key", "<u8"), ("p", "<u8"), ("q", "<u8"), ("n", "<u4")])
+MANY = 1 << 31
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -90,230 +97,296 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
     return mix((mix(bands) * odd).sum(axis=2, dtype=U64) + mix(np.arange(bands.shape[1], dtype=U64)))
 
 
-def _short(sketch: np.ndarray) -> np.ndarray:
-    """A byte for each place: enough to estimate by."""
-    return (mix(sketch) >> U64(56)).astype(np.uint8)
-
-
 def _set_ids(h: np.ndarray, first: np.ndarray) -> list[bytes | None]:
     raw = h.tobytes()
     return [hashlib.blake2b(raw[8 * a : 8 * z], digest_size=16).digest() if a < z else None for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
-def _rows(array: np.ndarray) -> pa.Array:
-    raw, width = array.tobytes(), array[0].nbytes if len(array) else 0
-    return pa.array([raw[k * width : (k + 1) * width] for k in range(len(array))], pa.binary())
+def _binary(raw: bytes, width: int) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(width), len(raw) // width, [None, pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def _sketch(bands: int):
+    def run(batches):
+        for b in batches:
+            for lo, hi, data, offsets in pieces(b.column("t")):
+                h, first = shingle_sets(data, offsets)
+                keys = band_keys(sketches(h, first, bands * ROWS), bands)
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, hi - lo), b.column("k").slice(lo, hi - lo), pa.array(np.diff(first), pa.int64()), pa.array(_set_ids(h, first), pa.binary()), _binary(keys.tobytes(), 8 * bands)], names=["id", "k", "n_shingles", "s", "bands"])
+
+    return run
+
+
+def _sharing(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries by key, the least set of each key first, and where keys begin."""
+    e = e[np.lexsort((e["q"], e["p"], e["key"]))]
+    return e, np.flatnonzero(np.append(True, e["key"][1:] != e["key"][:-1])) if len(e) else np.zeros(0, np.int64)
+
 
+def _candidates(e: np.ndarray, begins: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Pairs of each key's least set and another of its sets, but for those whose sizes alone put them below the threshold."""
+    hub = np.repeat(begins, np.diff(np.append(begins, len(e))))
+    other = np.flatnonzero(hub != np.arange(len(e)))
+    hub = hub[other]
+    x, y = ((e["n"][k] & U64(MANY - 1)).astype(np.int64) for k in (hub, other))
+    near = 100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)
+    both = np.stack([e["p"][hub[near]], e["q"][hub[near]], e["p"][other[near]], e["q"][other[near]]], axis=1).astype("<u8")
+    raw = b"".join(sorted(set(map(bytes, both.view("V32").reshape(-1))))) if len(both) else b""
+    ends = np.frombuffer(raw, dtype="V16").reshape(-1, 2)
+    return _binary(ends[:, 0].tobytes(), 16), _binary(ends[:, 1].tobytes(), 16)
 
-def _sketch(batches):
-    for b in batches:
-        for lo, hi, data, offsets in pieces(b.column("t")):
-            h, first = shingle_sets(data, offsets)
-            s = sketches(h, first)
-            yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, hi - lo), b.column("k").slice(lo, hi - lo), pa.array(np.diff(first), pa.int64()), pa.array(_set_ids(h, first), pa.binary()), _rows(band_keys(s)), _rows(_short(s))], names=["id", "k", "n_shingles", "s", "bands", "short"])
 
+_ROWS = "kind tinyint, a binary, b binary, key bigint, members array<binary>, bucket int, entries binary"
 
-def _deal(buckets):
-    """(bucket, entries): a band key and a set in 24 bytes each."""
+
+def _rows(kind: int, n: int, **columns) -> pa.RecordBatch:
+    kinds = {"a": pa.binary(), "b": pa.binary(), "key": pa.int64(), "members": pa.list_(pa.binary()), "bucket": pa.int32(), "entries": pa.binary()}
+    return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * n, pa.int8()), **{c: pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()}})
+
+
+def _members(e: np.ndarray, begins: np.ndarray, ends: np.ndarray, block: int) -> pa.RecordBatch:
+    """The sets of each of these keys, up to so many in a row."""
+    keys, lists = [], []
+    for a, z in zip(begins.tolist(), ends.tolist(), strict=True):
+        raw = np.stack([e["p"][a:z], e["q"][a:z]], axis=1).tobytes()
+        own = [raw[k : k + 16] for k in range(0, len(raw), 16)]
+        for k in range(0, len(own), block):
+            keys.append(int(e["key"][a].view(np.int64)))
+            lists.append(own[k : k + block])
+    return _rows(1, len(keys), key=keys, members=lists)
+
+
+def _deal(buckets: int, block: int):
+    """Of each batch of sets: kind 0, candidates (a, b) of one key; 1, the sets of a key that has several; 2, a bucket's entries, each the least of its key in the batch."""
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 4096):
-                part = b.slice(lo, 4096)
-                ids = np.frombuffer(b"".join(part.column("s").to_pylist()), dtype=U64).reshape(-1, 2)
-                keys = np.frombuffer(b"".join(part.column("bands").to_pylist()), dtype=U64).reshape(len(ids), -1)
-                entries = np.empty((keys.size, 3), dtype=U64)
-                entries[:, 0] = keys.reshape(-1)
-                entries[:, 1:] = np.repeat(ids, keys.shape[1], axis=0)
-                to = ((entries[:, 0] >> U64(32)) % U64(buckets)).astype(np.int64)
+            for lo in range(0, b.num_rows, BATCH):
+                part = b.slice(lo, BATCH)
+                ids = np.frombuffer(b"".join(part.column("s").to_pylist()), dtype="<u8").reshape(-1, 2)
+                keys = np.frombuffer(b"".join(part.column("bands").to_pylist()), dtype="<u8").reshape(len(ids), -1)
+                e = np.empty(keys.size, dtype=_ENTRY)
+                e["key"] = keys.reshape(-1)
+                for name, x in (("p", ids[:, 0]), ("q", ids[:, 1]), ("n", np.minimum(np.asarray(part.column("n")), MANY - 1))):
+                    e[name] = np.repeat(x, keys.shape[1])
+                e, begins = _sharing(e)
+                ends = np.append(begins[1:], len(e))
+                several = ends - begins > 1
+                x, y = _candidates(e, begins)
+                if len(x):
+                    yield _rows(0, len(x), a=x, b=y)
+                if several.any():
+                    yield _members(e, begins[several], ends[several], block)
+                least = e[begins]
+                least["n"][several] |= np.uint32(MANY)
+                to = ((least["key"] >> U64(32)) % U64(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 cuts = np.searchsorted(to[order], np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "entries": pa.array([entries[order[cuts[p] : cuts[p + 1]]].tobytes() for p in full], pa.binary())})
+                yield _rows(2, len(full), bucket=full, entries=[least[order[cuts[p] : cuts[p + 1]]].tobytes() for p in full])
 
     return run
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Keys of two sets or more: kind 0 has a candidate (a, b), kind 1 a block of a key's sets if it has three or more."""
-    e = np.frombuffer(b"".join(table["entries"].to_pylist()), dtype=U64).reshape(-1, 3)
-    order = np.argsort(e[:, 0], kind="stable")
-    key = e[order, 0]
-    begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(begins, len(key)))
-    pairs: set[tuple[bytes, bytes]] = set()
-    keys, blocks, members = [], [], []
-    for at, n in zip(begins[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-        raw = e[order[at : at + n], 1:].tobytes()
-        own = sorted(raw[k : k + 16] for k in range(0, 16 * n, 16))
-        pairs.update((own[0], x) for x in own[1:])
-        if n > 2:
-            for k in range(0, n, BLOCK):
-                keys.append(int(key[at].view(np.int64)))
-                blocks.append(k // BLOCK)
-                members.append(own[k : k + BLOCK])
-    a, b = [p[0] for p in pairs], [p[1] for p in pairs]
-    return pa.table({
-        "kind": pa.array([0] * len(a) + [1] * len(keys), pa.int8()), "a": pa.array(a + [None] * len(keys), pa.binary()), "b": pa.array(b + [None] * len(keys), pa.binary()),
-        "key": pa.array([None] * len(a) + keys, pa.int64()), "block": pa.array([None] * len(a) + blocks, pa.int32()), "members": pa.array([None] * len(a) + members, pa.list_(pa.binary()))})
-
-
-def _verified(batches):
-    for b in batches:
-        keep = []
-        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-            p, q = np.frombuffer(x, U64), np.frombuffer(y, U64)
-            both = len(p) + len(q) - len(np.union1d(p, q))
-            keep.append(100 * both >= PERCENT * (len(p) + len(q) - both))
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _compare(best: bool):
-    """Pairs of two components in two blocks of a key whose sketches are near; best: for each set its likeliest partner alone."""
+def _meet(block: int):
+    """A bucket's candidates between batches, and the sets of its keys that no batch has listed."""
 
-    def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                left, right = r["left"], r["right"]
-                ls = np.frombuffer(b"".join(x["short"] for x in left), np.uint8).reshape(len(left), -1)
-                rs = np.frombuffer(b"".join(x["short"] for x in right), np.uint8).reshape(len(right), -1)
-                names = {n: k for k, n in enumerate({x["label"] for x in left} | {x["label"] for x in right})}
-                ln, rn = (np.array([names[x["label"]] for x in side]) for side in (left, right))
-                equal = np.stack([np.count_nonzero(rs == row, axis=1) for row in ls])
-                equal[(ln[:, None] == rn[None, :]) | (equal < NEAR * ls.shape[1])] = 0
-                sizes = [np.array([x["n"] for x in side]) for side in (left, right)]
-                small, large = np.minimum.outer(*sizes), np.maximum.outer(*sizes)
-                equal[100 * small < PERCENT * large] = 0  # a set can't be that near one so much larger
-                if best:
-                    rows, cols = np.arange(len(left)), equal.argmax(axis=1)
-                    other, own = equal.argmax(axis=0), np.arange(len(right))
-                    rows, cols = np.append(rows, other), np.append(cols, own)
-                    some = equal[rows, cols] > 0
-                    rows, cols = rows[some], cols[some]
-                else:
-                    # a pair comes from the first key that its sets share alone; one of two sets was a candidate before
-                    rows, cols = np.nonzero(equal)
-                    lk, rk = (np.frombuffer(b"".join(x["bands"] for x in side), np.int64).reshape(len(side), -1) for side in (left, right))
-                    shared = (lk[rows] == rk[cols]).argmax(axis=1)
-                    first = lk[rows, shared] == r["key"]
-                    rows, cols = rows[first], cols[first]
-                found = {(min(x, y), max(x, y)) for x, y in ((left[i]["s"], right[j]["s"]) for i, j in zip(rows.tolist(), cols.tolist(), strict=True))}
-                if found:
-                    yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in found], pa.binary()), "b": pa.array([p[1] for p in found], pa.binary())})
+    def run(table: pa.Table) -> pa.Table:
+        e, begins = _sharing(np.frombuffer(b"".join(table["entries"].to_pylist()), dtype=_ENTRY))
+        x, y = _candidates(e, begins)
+        owner = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(e))))
+        many = e["n"] >= MANY
+        # keys of two sets are settled by their candidate
+        open_ = (np.bincount(owner, minlength=len(begins)) + np.bincount(owner, many, minlength=len(begins)) > 2)[owner] & ~many
+        single, owner = e[open_], owner[open_]
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+        return pa.Table.from_batches([_rows(0, len(x), a=x, b=y), _members(single, first, np.append(first[1:], len(single))[: len(first)], block)])
 
     return run
 
 
-def _pick_sets(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """s and full (its shingle hashes, packed) of the wanted sets (s, k); df has k and t.
+def _common(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many elements each set on the left has in common with each on the right, exactly."""
+    sides = [(np.concatenate(s), np.repeat(np.arange(len(s)), [len(x) for x in s])) for s in (left, right)]
+    both = np.intersect1d(*(np.unique(x) for x, _ in sides), assume_unique=True)
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    if not len(both):
+        return out
+    placed = []
+    for x, owner in sides:
+        at = np.minimum(np.searchsorted(both, x), len(both) - 1)
+        hit = both[at] == x
+        order = np.argsort(at[hit], kind="stable")
+        placed.append((at[hit][order], owner[hit][order]))
+    for lo in range(0, len(both), width):
+        marks = []
+        for (at, owner), sets in zip(placed, (left, right), strict=True):
+            a, z = np.searchsorted(at, (lo, lo + width))
+            m = np.zeros((len(sets), min(width, len(both) - lo)), dtype=np.float32)
+            m[owner[a:z], at[a:z] - lo] = 1
+            marks.append(m)
+        out += np.rint(marks[0] @ marks[1].T).astype(np.int64)
+    return out
 
-    A filter of fixed size lets only texts through that may be wanted; what it lets through by chance falls in the join.
-    """
-    cells = FILTER_BITS // 64
-    word = F.pmod(F.shiftright("k", 6), F.lit(cells))
-    parts = wanted.select(word.alias("cell"), F.expr("shiftleft(1L, cast(k & 63 AS int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
-    table = np.zeros(cells, dtype=np.int64)
-    got = parts.select("cell", "bits").toArrow()  # a row a cell at most
-    table[np.asarray(got["cell"])] = np.asarray(got["bits"])
-    shared = df.sparkSession.sparkContext.broadcast(table)
+
+def _linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    both = _common(left, right)
+    union = np.add.outer([len(x) for x in left], [len(x) for x in right]) - both
+    return 100 * both >= PERCENT * union
+
+
+def _verified(table: pa.Table) -> pa.Table:
+    """The pairs of a set and others that are linked; the row without b has the set itself."""
+    own, others, names, a = None, [], [], None
+    for x, y, full in zip(table["a"].to_pylist(), table["b"].to_pylist(), table["full"].to_pylist(), strict=True):
+        h = np.frombuffer(full, U64)
+        if y is None:
+            own = h
+        else:
+            others.append(h)
+            names.append(y)
+        a = x
+    hit = np.flatnonzero(_linked([own], others)[0]) if others else []
+    return pa.table({"a": pa.array([a] * len(hit), pa.binary()), "b": pa.array([names[k] for k in hit], pa.binary())})
+
+
+def _compared(table: pa.Table) -> pa.Table:
+    """Of the sets of two blocks of a key (or of one): components (a, b) that some link joins, a row for each but one of those joined."""
+    block, labels = np.asarray(table["block"]), table["label"].to_pylist()
+    sets = [np.frombuffer(x, U64) for x in table["full"].to_pylist()]
+    names = {n: k for k, n in enumerate(sorted(set(labels)))}
+    which = np.array([names[x] for x in labels], dtype=np.int64)
+    sides = [np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())]
+    rows, cols = np.nonzero(_linked(*([sets[k] for k in side] for side in sides)) & (which[sides[0]][:, None] != which[sides[1]][None, :]))
+    root = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for edge in np.unique(which[sides[0]][rows] * len(names) + which[sides[1]][cols]).tolist():
+        x, y = sorted((find(edge // len(names)), find(edge % len(names))))
+        root[y] = x
+    own = sorted(names)
+    joined = [(own[find(k)], own[k]) for k in range(len(own)) if find(k) != k]
+    return pa.table({"a": pa.array([x for x, _ in joined], pa.binary()), "b": pa.array([y for _, y in joined], pa.binary())})
+
+
+def _full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """s, n and full (its n shingle hashes, packed) of the wanted sets (s, k); texts has k and t. A filter picks their texts."""
+    has = member_filter(wanted.select("k"))
 
     def run(batches):
-        bits = shared.value
         for b in batches:
-            k = np.asarray(b.column("k")).astype(np.int64)
-            _, once = np.unique(k, return_index=True)  # copies in a batch once
-            once = np.sort(once)
-            hit = once[(bits[(k[once] >> 6) % cells] >> (k[once] & 63)) & 1 == 1]
-            if not len(hit):
-                continue
-            own = b.take(pa.array(hit))
-            for lo, hi, data, offsets in pieces(own.column("t")):
+            _, once = np.unique(np.asarray(b.column("k")), return_index=True)  # copies in a batch once
+            own = b.take(pa.array(np.sort(once)))
+            for _, _, data, offsets in pieces(own.column("t")):
                 h, first = shingle_sets(data, offsets)
-                yield pa.RecordBatch.from_arrays([own.column("k").slice(lo, hi - lo), pa.array([h[a:z].tobytes() for a, z in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["k", "full"])
+                rows = [(s, h[a:z].tobytes()) for s, a, z in zip(_set_ids(h, first), first[:-1], first[1:], strict=True) if s]
+                yield pa.RecordBatch.from_pydict({"s": pa.array([s for s, _ in rows], pa.binary()), "n": pa.array([len(x) // 8 for _, x in rows], pa.int64()), "full": pa.array([x for _, x in rows], pa.binary())})
 
-    full = df.select("k", "t").mapInArrow(run, "k bigint, full binary")
-    return full.join(wanted, "k").groupBy("s").agg(F.first("full").alias("full"))
+    full = texts.filter(has(F.col("k"))).select("k", "t").mapInArrow(run, "s binary, n bigint, full binary")
+    return full.join(wanted.select("s"), "s", "left_semi").groupBy("s").agg(F.first("n").alias("n"), F.first("full").alias("full"))
 
 
-def _links(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs (a, b) that hold on full sets."""
-    both = pairs.join(full.select(F.col("s").alias("a"), F.col("full").alias("x")), "a").join(full.select(F.col("s").alias("b"), F.col("full").alias("y")), "b")
-    return both.mapInArrow(_verified, "a binary, b binary")
+def _blocks(n_sets, n_shingles, block: int):
+    return F.greatest(F.ceil(n_sets / F.lit(block)), F.ceil(n_shingles / F.lit(FULL))).cast("int")
 
 
-def _open_blocks(member: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """key and pairs of blocks (left, right) of the keys whose sets are in several components; member: key, block, s."""
-    known = member.join(labels.withColumnRenamed("node", "s"), "s", "left").select("key", "block", "s", F.coalesce("label", "s").alias("label"))
-    still = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    still = known.join(still, "key", "left_semi").join(sets.select("s", "short", "n", "bands"), "s")
-    blocks = materialise(still.groupBy("key", "block").agg(F.collect_list(F.struct("s", "label", "short", "n", "bands")).alias("sets")), "open-blocks")  # BLOCK at most
-    sides = blocks.select("key", F.col("block").alias("i"), F.col("sets").alias("left")).join(blocks.select("key", F.col("block").alias("j"), F.col("sets").alias("right")), "key")
-    return sides.filter("i <= j").select("key", "left", "right")
+def _links(pairs: DataFrame, full: DataFrame, block: int) -> DataFrame:
+    """The pairs (a, b) that hold on full sets; a set meets up to about BLOCK others or FULL shingles at a time."""
+    own = pairs.withColumnRenamed("b", "s").join(full, "s").select("a", F.col("s").alias("b"), "n", "full")
+    parts = own.groupBy("a").agg(_blocks(F.count("*"), F.sum("n"), block).alias("parts"))
+    others = salted_join(own.drop("n"), parts, ["a"], "inner").select("a", "b", "full", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
+    itself = parts.withColumnRenamed("a", "s").join(full, "s").select(F.col("s").alias("a"), F.lit(None).cast("binary").alias("b"), "full", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return others.unionByName(itself).groupBy("a", "part").applyInArrow(_verified, "a binary, b binary")
 
 
-def _labelled(texts: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
-    """The texts (id, of that type, k and t) as id, k, n_shingles and s, and the components (node, label) of sets that are linked."""
-    sketched = materialise(texts.mapInArrow(_sketch, f"id {kind}, k bigint, n_shingles bigint, s binary, bands binary, short binary"), "sketches")
-    sets = materialise(sketched.filter("s is not null").groupBy("s").agg(F.max("bands").alias("bands"), F.max("short").alias("short"), F.max("n_shingles").alias("n"), F.min("k").alias("k")), "sets")
-    buckets = max(32, sets.count() // 20_000)
+def _joins(member: DataFrame, state: DataFrame, full: DataFrame, block: int) -> DataFrame:
+    """Components (a, b) to be joined, by the keys (key, s) whose sets are in several; state: s, n, label."""
+    known = member.join(state, "s").select("key", "s", "n", "label")
+    still = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), _blocks(F.count("*"), F.sum("n"), block).alias("blocks")).filter("x <> y").select("key", "blocks")
+    dealt = salted_join(known, still, ["key"], "inner").select("key", "s", "label", "blocks", F.pmod(F.xxhash64("s"), "blocks").cast("int").alias("block"))
+    sides = dealt.join(full.select("s", "full"), "s").select("key", "label", "full", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return sides.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", "full").groupBy("key", "i", "j").applyInArrow(_compared, "a binary, b binary").distinct()
 
-    def deal(batches):
-        yield from _deal(buckets)(batches)
 
-    met = materialise(sets.select("s", "bands").mapInArrow(deal, "bucket int, entries binary").groupBy("bucket").applyInArrow(_meet, "kind tinyint, a binary, b binary, key bigint, block int, members array<binary>"), "bands")
-    pairs = materialise(met.filter("kind = 0").select("a", "b").distinct(), "candidates")
+def _labelled(texts: DataFrame, kind: str, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
+    """The texts (id, of that type, k and t) as id, k, n_shingles and s, and the components (s, label) of sets that are linked."""
+    block = BLOCK
+    sketched = materialise(texts.mapInArrow(_sketch(bands), f"id {kind}, k bigint, n_shingles bigint, s binary, bands binary"), "sketches")
+    sets = materialise(sketched.filter("s is not null").groupBy("s").agg(F.first("bands").alias("bands"), F.first("n_shingles").alias("n"), F.min("k").alias("k")), "sets")
+    buckets = max(32, sets.count() // BUCKET)
+    dealt = materialise(sets.select("s", "n", "bands").mapInArrow(_deal(buckets, block), _ROWS), "dealt")
+    met = materialise(dealt.filter("kind = 2").select("bucket", "entries").groupBy("bucket").applyInArrow(_meet(block), _ROWS), "met")
+    found = dealt.filter("kind < 2").unionByName(met)
+    pairs = materialise(found.filter("kind = 0").select("a", "b").distinct(), "candidates")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-    full = materialise(_pick_sets(texts, materialise(sets.select("s", "k").join(ends, "s", "left_semi"), "wanted")), "full-sets")
-    labels = materialise(components(_links(pairs, full)), "labels")
-
-    # what the least sets have not settled: keys whose sets are in several components
-    member = met.filter("kind = 1").select("key", "block", F.explode("members").alias("s"))
-    for some, best in ((F.pmod("key", F.lit(3)) == 0, True), (F.lit(True), False)):
-        more = _open_blocks(member.filter(some), labels, sets).mapInArrow(_compare(best), "a binary, b binary").distinct()
-        more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "candidates")
-        if more.isEmpty():
-            continue
-        pairs = pairs.unionByName(more)
-        found = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(_links(more, full))
-        labels = materialise(components(found), "labels")
-    return sketched.select("id", "k", "n_shingles", "s"), labels
-
-
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    member = found.filter("kind = 1").select("key", F.explode("members").alias("s"))
+    ends = ends.unionByName(member.select("s").distinct()).distinct()  # a key's sets may differ too much in size to be candidates
+    wanted = materialise(sets.select("s", "k").join(ends, "s", "left_semi"), "wanted")
+    full = materialise(_full_sets(texts, wanted), "full-sets")
+    joined = components(_links(pairs, full, block)).select(F.col("node").alias("s"), "label")
+    state = materialise(full.select("s", "n").join(joined, "s", "left").select("s", "n", F.coalesce("label", "s").alias("label")), "state")
+    discard(sets, pairs, wanted, joined)
+
+    # what the least sets have not settled
+    for some in (F.pmod("key", F.lit(3)) == 0, F.pmod("key", F.lit(3)) != 0):
+        more = materialise(_joins(member.filter(some), state, full, block), "joins")
+        if not more.isEmpty():
+            moved = components(more).select(F.col("node").alias("label"), F.col("label").alias("to"))
+            now = materialise(salted_join(state, moved, ["label"]).select("s", "n", F.coalesce("to", "label").alias("label")), "state")
+            discard(state, moved)
+            state = now
+        discard(more)
+    discard(dealt, met, full)
+    return sketched.select("id", "k", "n_shingles", "s"), state.select("s", "label")
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", bands: int = BANDS) -> DataFrame:
     """The rows of df that stay where one row of each component may: the first by key (none last), text hash and all other columns.
 
     Rows without a key are linked by their sets like others, and rows that repeat a key and its text are one row. Texts without
-    words are linked with nothing, so those without a key all stay.
+    words are linked with nothing, so those without a key all stay. Only rows that may go or be repeated are shuffled with their texts.
     """
     ship(df.sparkSession)
-    sketched, labels = _labelled(df.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("k"), F.col(text).alias("t")), df.schema[key].dataType.simpleString())
+    sketched, labels = _labelled(df.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("k"), F.col(text).alias("t")), df.schema[key].dataType.simpleString(), bands)
     places = sketched.groupBy("id", "k", "s").agg(F.count("*").alias("n"))
-    joined = places.join(labels.withColumnRenamed("node", "s"), "s", "left").select("id", "k", "n", F.coalesce("label", "s").alias("label"))
-    first = joined.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("lone"), "id", "k", "n")).alias("f")).select("f.id", "f.k", "f.n")
-    alone = joined.filter("label is null").select("id", "k", F.when(F.col("id").isNull(), F.lit(1)).otherwise(F.col("n")).alias("n"))
-    chosen = materialise(first.unionByName(alone), "chosen")
-
-    def rows(of):
-        return df.join(of, df[key].eqNullSafe(of["id"]) & (F.xxhash64(df[text]) == of["k"]), "left_semi")
-
-    out, repeated = rows(chosen.filter("n = 1")), chosen.filter("n > 1")
+    joined = materialise(salted_join(places, labels, ["s"]).select("id", "k", "n", F.coalesce("label", "s").alias("label")), "places")
+    first = joined.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("lone"), "id", "k")).alias("f"))
+    rest = salted_join(joined.filter("label is not null"), first, ["label"], "inner").select("id", "k", "n", (F.col("id").eqNullSafe(F.col("f.id")) & (F.col("k") == F.col("f.k"))).alias("stays"))
+    alone = joined.filter("label is null").select("id", "k", F.when(F.col("id").isNull(), F.lit(1)).otherwise(F.col("n")).alias("n"), F.lit(True).alias("stays"))
+    touched = materialise(rest.unionByName(alone).filter("n > 1 or not stays"), "touched")
+    discard(sketched, labels, joined)
+
+    place = lambda a, b: F.xxhash64(F.coalesce(a.cast("string"), F.lit("-")), b)
+    has, own = member_filter(touched.select(place(F.col("id"), F.col("k")))), F.xxhash64(df[text])
+    calm, rows = df.filter(~has(place(df[key], own))), df.filter(has(place(df[key], own)))
+    on = rows[key].eqNullSafe(touched["id"]) & (own == touched["k"])
+    out = calm.unionByName(rows.join(touched, on, "left_anti"))
+    repeated = touched.filter("stays")
     if repeated.isEmpty():
         return out
-    least = rows(repeated).groupBy(F.col(key).alias("_id"), F.xxhash64(F.col(text)).alias("_k")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("_row"))
+    least = rows.join(repeated, rows[key].eqNullSafe(repeated["id"]) & (own == repeated["k"]), "left_semi").groupBy(F.col(key).alias("_id"), F.xxhash64(F.col(text)).alias("_k")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("_row"))
     return out.unionByName(least.select("_row.*"))
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = True, bands: int = BANDS) -> DataFrame:
     """df (without its text unless keep_text) with n_shingles, component_id (the least key among the texts that links join to it) and kept (whether that is its own)."""
     ship(df.sparkSession)
     results = ("n_shingles", "component_id", "kept")
     df, restored = shielded(df, "_id", "_k")
     carried = [c for c in df.columns if c.lower() not in results and (keep_text or c != text)]
     src = df.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("k"), F.col(text).alias("t"))
-    sketched, labels = _labelled(src.filter("id is not null"), df.schema[key].dataType.simpleString())
-    joined = sketched.join(labels.withColumnRenamed("node", "s"), "s", "left").select("id", "k", "n_shingles", F.coalesce("label", "s").alias("label"))
-    least = joined.filter("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
-    rows = joined.join(least, "label", "left").select("id", "k", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    sketched, labels = _labelled(src.filter("id is not null"), df.schema[key].dataType.simpleString(), bands)
+    # a row for each set that has several rows or links; the others are their own components
+    sets = sketched.filter("s is not null").groupBy("s").agg(F.min("id").alias("own"), F.count("*").alias("n"))
+    sets = sets.join(labels, "s", "left").filter("n > 1 or label is not null").select("s", "own", F.coalesce("label", "s").alias("label"))
+    sets = materialise(salted_join(sets, sets.groupBy("label").agg(F.min("own").alias("component_id")), ["label"], "inner").select("s", "component_id"), "set-components")
+    rows = materialise(salted_join(sketched, sets, ["s"]).select("id", "k", "n_shingles", F.coalesce("component_id", "id").alias("component_id")), "row-components")
+    discard(sketched, labels, sets)
     if carried == [key]:
         own = rows.select(F.col("id").alias(key), "n_shingles", "component_id")
     else:  # equal keys and texts have equal results

@@ -4,41 +4,50 @@ Fixed-block anchors: with blocks of B = (window + 1) // 2 words at multiples of
 whole block. So of two equal windows, each text's block is met by a rolling block of the other. Three passes:
 
 1. Index: hash every non-overlapping block. The index is a filter of FILTER_BITS bits in two layers (met, met twice),
-   built in address ranges by tasks and of that fixed size however large the corpus, which is what allows broadcasting it.
+   of that fixed size however large the corpus, which is what allows broadcasting it. Its address ranges are built by tasks
+   that hold a range of either layer and take addresses batch by batch, each at most twice from a piece of input.
 2. Probe and extend: every rolling block of every text probes the index (a block doesn't count as meeting itself). Around
-   each hit the match is extended to full windows, which are compared by a 64-bit hash of their words: equal windows are
+   each hit the match is extended to full windows, which are compared by 128 bits of their words: equal windows are
    brought together and all of them confirmed. Overlapping confirmed windows make the maximal repeats.
-3. Remove: texts get the confirmed places of their own content and lose the words.
+3. Remove: texts get the confirmed runs of their own content and lose the words. A filter of fixed size lets only texts
+   that may have some through to that join; the others are never shuffled.
 
 A filter has false hits, never misses; they cost shuffle, not results: a window is confirmed only by its equal. Beyond
-about FILTER_BITS / 16 blocks false hits grow until, far beyond, every window is compared, 16 bytes each.
+about FILTER_BITS / 16 blocks false hits grow until, far beyond, every window is compared, 25 bytes each.
 
 Windows move packed: a row for each piece of input and hash bucket, with arrays in bytes. Windows equal within a piece are
 settled there and one of them stands for the piece, so a passage that a third of all texts hold costs an entry a piece,
 not one a text. No pairs are formed.
 
-Places are (text hash, word), so equal texts share their result; 64-bit hashes stand for texts and windows. Cases: null
-and empty texts have no words; texts shorter than a window lose none; keys don't matter and may be null or repeat; rows
-equal in all columns are texts of their own, so what they share is removed from both. Other columns are carried along.
+Places are (text, word), so equal texts share their result; 128 bits stand for a text (of its SHA-256) and a window. Cases:
+null and empty texts have no words; texts shorter than a window lose none; keys don't matter and may be null or repeat; rows
+equal in all columns are texts of their own, so what they share is removed from both. Texts of any length are taken whole,
+one at a time if they are longer than PIECE_BYTES. Other columns are carried along. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, ship
+from .common import discard, materialise, member_filter, ship
 from .textbytes import U64, Words, mix, pieces
 
 WINDOW = 35
-#: Bits of each of the filter's two layers (32 MB each), addresses of a block, and ranges that tasks build.
-FILTER_BITS, ADDRESSES, RANGES = 1 << 28, 3, 64
-#: Input bytes of text for each bucket of windows, and the least number of buckets.
-BUCKET_BYTES, BUCKETS = 32 << 20, 32
+#: Bits of each of the filter's two layers (32 MB each), and addresses of a block.
+FILTER_BITS, ADDRESSES = 1 << 28, 3
+#: Bytes of text for each range of the filter, and the least and most ranges.
+RANGE_BYTES, RANGES, MOST_RANGES = 1 << 30, 64, 4096
+#: Bytes of text for each bucket of windows, and the least number of buckets.
+BUCKET_BYTES, BUCKETS = 16 << 20, 32
+
+
+_U32 = np.uint32
 
 
 def _addresses(blocks: np.ndarray, bits: int) -> np.ndarray:
@@ -52,35 +61,33 @@ def _aligned(w: Words, at: np.ndarray, size: int) -> np.ndarray:
     return (at - w.first[w.text_of(at)]) % size == 0
 
 
-def build_filter(df: DataFrame, block: int, bits: int = FILTER_BITS) -> tuple[np.ndarray, np.ndarray]:
+def build_filter(df: DataFrame, block: int, bits: int = FILTER_BITS, ranges: int = RANGES) -> tuple[np.ndarray, np.ndarray]:
     """Two arrays of bits as bytes: addresses that some block has, and that two or more have. df has a text column `t`."""
-    part = bits // RANGES
+    part = bits // ranges
 
     def addresses(batches):
         for b in batches:
             for _, _, data, offsets in pieces(b.column("t")):
                 w = Words(data, offsets)
                 at, h = w.windows(block)
-                got = np.sort(_addresses(h[_aligned(w, at, block)], bits).reshape(-1))
-                cuts = np.searchsorted(got, np.arange(RANGES + 1) * part)
-                full = [r for r in range(RANGES) if cuts[r] < cuts[r + 1]]
-                yield pa.RecordBatch.from_pydict({"range": pa.array(full, pa.int32()), "own": pa.array([(got[cuts[r] : cuts[r + 1]] - r * part).astype(np.uint32).tobytes() for r in full], pa.binary())})
+                got, n = np.unique(_addresses(h[_aligned(w, at, block)], bits).reshape(-1), return_counts=True)
+                got = np.repeat(got, np.minimum(n, 2))  # a block that all texts have comes twice from a piece, not more often
+                cuts = np.searchsorted(got, np.arange(ranges + 1) * part)
+                full = np.flatnonzero(np.diff(cuts))
+                yield pa.RecordBatch.from_pydict({"range": pa.array(full, pa.int32()), "own": pa.array([(got[cuts[r] : cuts[r + 1]] - r * part).astype(_U32).tobytes() for r in full], pa.binary())})
 
-    def layers(key, batches):
+    def layers(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(part, dtype=bool), np.zeros(part, dtype=bool)
         for b in batches:
-            for own in b.column("own").to_pylist():
-                a, n = np.unique(np.frombuffer(own, dtype=np.uint32), return_counts=True)
+            for own in b.column("own"):
+                a, n = np.unique(np.frombuffer(own.as_buffer(), dtype=_U32), return_counts=True)
                 twice[a[once[a] | (n > 1)]] = True
                 once[a] = True
         yield pa.RecordBatch.from_pydict({"range": pa.array([key[0].as_py()], pa.int32()), "once": pa.array([np.packbits(once, bitorder="little").tobytes()], pa.binary()), "twice": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())})
 
-    def grouped(key, table):
-        return pa.Table.from_batches(list(layers(key, table.to_batches())))
-
-    rows = df.select("t").mapInArrow(addresses, "range int, own binary").groupBy("range").applyInArrow(grouped, "range int, once binary, twice binary")
+    rows = df.select("t").mapInArrow(addresses, "range int, own binary").groupBy("range").applyInArrow(layers, "range int, once binary, twice binary")
     once, twice = np.zeros(bits // 8, dtype=np.uint8), np.zeros(bits // 8, dtype=np.uint8)
-    for r in rows.toLocalIterator():  # RANGES rows of a fixed size
+    for r in rows.collect():  # two layers of fixed size in all
         lo = r["range"] * part // 8
         once[lo : lo + part // 8] = np.frombuffer(r["once"], np.uint8)
         twice[lo : lo + part // 8] = np.frombuffer(r["twice"], np.uint8)
@@ -98,133 +105,141 @@ def _set(layer: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def candidates(w: Words, once: np.ndarray, twice: np.ndarray, window: int, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words and hashes of the windows that hold a block which meets the index elsewhere."""
+    """First words and hashes (2 x windows) of the windows that hold a block which meets the index elsewhere."""
     at, h = w.windows(block)
     own = _aligned(w, at, block)
     places = _addresses(h, 8 * len(once))
     hit = _set(once, places)
     mine = np.flatnonzero(own & hit)
     hit[mine] = _set(twice, places[:, mine])
-    near = np.zeros(len(w.hashes) + 1, dtype=np.int64)
+    near = np.zeros(w.lanes.shape[1] + 1, dtype=np.int64)
     np.add.at(near, at[hit] + 1, 1)
     near = np.cumsum(near)  # hits before each word
-    start, windows = w.windows(window)
+    start, *windows = w.windows(window, lanes=2)
     last = np.minimum(start + window - block + 1, len(near) - 1)
     take = near[last] > near[start]
-    return start[take], windows[take]
+    return start[take], np.stack([x[take] for x in windows])
 
 
-_U32 = np.uint32
+def _text_key(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
 
+def _runs(texts: np.ndarray, which: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
+    """A row for each run of words of a text (texts: 2 x 64 bits each) where confirmed windows start: the first and the last."""
+    p, q = texts[which, 0], texts[which, 1]
+    order = np.lexsort((word, q, p))
+    p, q, word = p[order], q[order], word[order].astype(np.int64)
+    new = np.ones(len(word), dtype=bool)
+    new[1:] = (p[1:] != p[:-1]) | (q[1:] != q[:-1]) | (word[1:] - word[:-1] > 1)
+    begins = np.flatnonzero(new)
+    ends = np.append(begins[1:], len(word))[: len(begins)] - 1
+    raw = np.stack([p[begins], q[begins]], axis=1).tobytes()
+    return pa.RecordBatch.from_pydict({"k": pa.array([raw[a : a + 16] for a in range(0, len(raw), 16)], pa.binary()), "first": pa.array(word[begins], pa.int32()), "last": pa.array(word[ends], pa.int32())})
 
-def _probe(text_key, once, twice, window, block, buckets):
-    """Rows for pass 2: kind 0 has places that the piece itself settles, kind 1 has entries (window hash, place) of a bucket."""
+
+_RUNS = "k binary, first int, last int"
+
+
+def _probe(once, twice, window, block, buckets):
+    """Rows for pass 2: kind 0 has places that the piece itself settles, kind 1 has places and window hashes of a bucket. Places are text, word."""
+
+    def row(kind, bucket, keys, doc, word, cells=b""):
+        order = np.argsort(doc, kind="stable")
+        own, which = np.unique(doc[order], return_inverse=True)
+        return {"kind": kind, "bucket": bucket, "texts": keys[own].tobytes(), "places": which.astype(_U32).tobytes() + word[order].astype(_U32).tobytes(), "cells": cells if isinstance(cells, bytes) else np.ascontiguousarray(cells[0][:, order]).tobytes() + cells[1][order].astype(np.uint8).tobytes()}
 
     def run(batches):
         for b in batches:
             for lo, hi, data, offsets in pieces(b.column("t")):
-                keys = np.asarray(b.column(text_key).slice(lo, hi - lo)).astype(np.int64)
+                keys = np.frombuffer(b"".join(b.column("k").slice(lo, hi - lo).to_pylist()), dtype=U64).reshape(-1, 2)
                 w = Words(data, offsets)
                 at, h = candidates(w, once, twice, window, block)
                 doc = w.text_of(at)
-                word = (at - w.first[doc]).astype(np.int64)
-                order = np.argsort(h, kind="stable")
-                h, key, word = h[order], keys[doc[order]], word[order]
-                first = np.ones(len(h), dtype=bool)
-                first[1:] = h[1:] != h[:-1]
+                word = at - w.first[doc]
+                order = np.lexsort((h[1], h[0]))
+                h, doc, word = h[:, order], doc[order], word[order]
+                first = np.ones(len(at), dtype=bool)
+                first[1:] = (h[:, 1:] != h[:, :-1]).any(axis=0)
                 begins = np.flatnonzero(first)
-                n = np.diff(np.append(begins, len(h)))
+                n = np.diff(np.append(begins, len(at)))
                 settled = np.repeat(n > 1, n)
-                kind, bucket, where, cells = [], [], [], []
-
-                def put(k, bk, ks, ws, hs=None, more=None):
-                    kind.append(k)
-                    bucket.append(bk)
-                    where.append(ks.tobytes() + ws.astype(_U32).tobytes())
-                    cells.append(b"" if hs is None else hs.tobytes() + more.astype(np.uint8).tobytes())
-
-                if settled.any():
-                    put(0, 0, key[settled], word[settled])
+                out = [row(0, 0, keys, doc[settled], word[settled])] if settled.any() else []
                 # one entry a distinct window; n > 1: nothing to send back
-                sh, sk, sw, sn = h[begins], key[begins], word[begins], n > 1
-                to = ((sh >> U64(40)) % U64(buckets)).astype(np.int64)
+                h, doc, word, more = h[:, begins], doc[begins], word[begins], n > 1
+                to = ((h[0] >> U64(40)) % U64(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 cuts = np.searchsorted(to[order], np.arange(buckets + 1))
                 for p in np.flatnonzero(np.diff(cuts)):
                     own = order[cuts[p] : cuts[p + 1]]
-                    put(1, int(p), sk[own], sw[own], sh[own], sn[own])
-                yield pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int8()), "bucket": pa.array(bucket, pa.int32()), "places": pa.array(where, pa.binary()), "cells": pa.array(cells, pa.binary())})
+                    out.append(row(1, int(p), keys, doc[own], word[own], (h[:, own], more[own])))
+                yield pa.RecordBatch.from_pylist(out, schema=_PROBED)
 
     return run
 
 
-def _unpack(places: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(places) // 12
-    return np.frombuffer(places, np.int64, n), np.frombuffer(places, _U32, n, 8 * n)
+_PROBED = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("texts", pa.binary()), ("places", pa.binary()), ("cells", pa.binary())])
 
 
-def _by_text(key: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
-    """A row for each text: its hash and the words where confirmed windows start."""
-    order = np.lexsort((word, key))
-    key, word = key[order], word[order]
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = (key[1:] != key[:-1]) | (word[1:] != word[:-1])
-    key, word = key[new], word[new]
-    begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    ends = np.append(begins[1:], len(key))[: len(begins)]
-    return pa.RecordBatch.from_pydict({"k": pa.array(key[begins], pa.int64()), "starts": pa.array([word[a:z].astype(_U32).tobytes() for a, z in zip(begins, ends, strict=True)], pa.binary())})
+def _unpack(texts: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(places) // 8
+    return np.frombuffer(texts, U64).reshape(-1, 2), np.frombuffer(places, _U32, n), np.frombuffer(places, _U32, n, 4 * n)
 
 
 def _settled(batches):
     for b in batches:
-        for places in b.column("places").to_pylist():
-            yield _by_text(*_unpack(places))
+        for texts, places in zip(b.column("texts").to_pylist(), b.column("places").to_pylist(), strict=True):
+            yield _runs(*_unpack(texts, places))
 
 
 def _confirm(table: pa.Table) -> pa.Table:
     """The places of a bucket whose window has an equal."""
-    keys, words, hashes, more = [], [], [], []
-    for places, cells in zip(table["places"].to_pylist(), table["cells"].to_pylist(), strict=True):
-        k, w = _unpack(places)
-        keys.append(k)
+    texts, which, words, hashes, more, base = [], [], [], [], [], 0
+    for row in zip(table["texts"].to_pylist(), table["places"].to_pylist(), table["cells"].to_pylist(), strict=True):
+        t, k, w = _unpack(*row[:2])
+        texts.append(t)
+        which.append(k.astype(np.int64) + base)
         words.append(w)
-        hashes.append(np.frombuffer(cells, U64, len(k)))
-        more.append(np.frombuffer(cells, np.uint8, len(k), 8 * len(k)).astype(bool))
-    k, w, h, m = (np.concatenate(x) for x in (keys, words, hashes, more))
-    order = np.argsort(h, kind="stable")
-    k, w, h, m = k[order], w[order], h[order], m[order]
-    equal = h[1:] == h[:-1]
-    back = (np.append(equal, False) | np.append(False, equal)) & ~m
-    return pa.Table.from_batches([_by_text(k[back], w[back])])
-
-
-def _covered(starts: list[bytes], n: int, window: int) -> np.ndarray:
-    """Which of a text's n words lie in windows that start at these."""
+        hashes.append(np.frombuffer(row[2], U64, 2 * len(k)).reshape(2, -1))
+        more.append(np.frombuffer(row[2], np.uint8, len(k), 16 * len(k)).astype(bool))
+        base += len(t)
+    h = np.concatenate(hashes, axis=1)
+    order = np.lexsort((h[1], h[0]))
+    h = h[:, order]
+    equal = (h[:, 1:] == h[:, :-1]).all(axis=0)
+    back = order[(np.append(equal, False) | np.append(False, equal)) & ~np.concatenate(more)[order]]
+    return pa.Table.from_batches([_runs(np.concatenate(texts), np.concatenate(which)[back], np.concatenate(words)[back])])
+
+
+def _covered(first: np.ndarray, last: np.ndarray, n: int, window: int) -> np.ndarray:
+    """Which of a text's n words lie in windows that start in these runs."""
     change = np.zeros(n + 1, dtype=np.int64)
-    at = np.unique(np.concatenate([np.frombuffer(s, _U32) for s in starts])).astype(np.int64)
-    np.add.at(change, at, 1)
-    np.add.at(change, np.minimum(at + window, n), -1)
+    np.add.at(change, first, 1)
+    np.add.at(change, np.minimum(last + window, n), -1)
     return np.cumsum(change)[:n] > 0
 
 
 def repeated(df: DataFrame, text: str = "text", window: int = WINDOW, bits: int = FILTER_BITS) -> DataFrame:
-    """k (the text's xxhash64) and starts (32-bit words of windows, packed), for texts with repeated windows; several rows a text."""
+    """k (128 bits of the text), first and last: the runs of words where repeated windows start; a run may come in several parts, none twice."""
     ship(df.sparkSession)
     block = (window + 1) // 2
-    src = df.filter(F.col(text).isNotNull()).select(F.xxhash64(F.col(text)).alias("k"), F.col(text).alias("t"))
-    once, twice = build_filter(src, block, bits)
+    src = df.filter(F.col(text).isNotNull()).select(_text_key(F.col(text)).alias("k"), F.col(text).alias("t"))
     size = df.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
+    ranges = min(max(RANGES, 1 << (size // RANGE_BYTES).bit_length()), MOST_RANGES, bits // 8)
+    once, twice = build_filter(src, block, bits, ranges)
     buckets = max(BUCKETS, size // BUCKET_BYTES)
     shared = df.sparkSession.sparkContext.broadcast((once, twice))  # of fixed size
 
     def probe(batches):
-        yield from _probe("k", *shared.value, window, block, buckets)(batches)
+        yield from _probe(*shared.value, window, block, buckets)(batches)
 
-    found = materialise(src.mapInArrow(probe, "kind tinyint, bucket int, places binary, cells binary"), "substring-probe")
-    at_once = found.filter("kind = 0").mapInArrow(_settled, "k bigint, starts binary")
-    met = found.filter("kind = 1").groupBy("bucket").applyInArrow(_confirm, "k bigint, starts binary")
-    out = materialise(at_once.unionByName(met), "substring-places")
+    found = materialise(src.mapInArrow(probe, "kind tinyint, bucket int, texts binary, places binary, cells binary"), "substring-probe")
+    at_once = found.filter("kind = 0").mapInArrow(_settled, _RUNS)
+    met = found.filter("kind = 1").groupBy("bucket").applyInArrow(_confirm, _RUNS)
+    out = materialise(at_once.unionByName(met).distinct(), "substring-runs")
     discard(found)
+    shared.unpersist()
     return out
 
 
@@ -233,16 +248,20 @@ def substring_dedup(df: DataFrame, text: str = "text", window: int = WINDOW, bit
 
     With digests, kept_sha256 of the remaining words joined by single spaces stands in the text's place.
     """
-    gone = repeated(df, text, window, bits).distinct().groupBy("k").agg(F.collect_list("starts").alias("starts"))  # of one content, copies once
+    runs = repeated(df, text, window, bits)
+    gone = materialise(runs.groupBy("k").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last")), "substring-texts")
+    discard(runs)
     result = ["n_words", "n_removed", "kept_sha256" if digests else text]
     carried = [c for c in df.columns if c != text and c.lower() not in result]
-    base = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carried)], F.col(f"`{text}`").alias("t"), F.xxhash64(F.col(f"`{text}`")).alias("_k"))
-    joined = base.join(gone, F.when(F.col("t").isNotNull(), F.col("_k")) == gone["k"], "left").drop("k", "_k")
+    base = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carried)], F.col(f"`{text}`").alias("t"))
+    key, has = _text_key(F.col("t")), member_filter(gone.select(F.xxhash64("k")))
+    touched = base.filter(has(F.xxhash64(key))).withColumn("k", key).join(gone, "k", "left").drop("k")
+    calm = base.filter(~has(F.xxhash64(key)))
     ddl = ", ".join([f"c{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(carried)] + ["n_words bigint, n_removed bigint, kept string"])
 
     def run(batches):
         for b in batches:
-            starts = b.column("starts").to_pylist()
+            runs_of = [x.to_pylist() for x in (b.column("first"), b.column("last"))] if "first" in b.schema.names else [[None] * b.num_rows] * 2
             for lo, hi, data, offsets in pieces(b.column("t")):
                 raw = data.tobytes()
                 w = Words(data, offsets, hashed=False)
@@ -250,7 +269,8 @@ def substring_dedup(df: DataFrame, text: str = "text", window: int = WINDOW, bit
                 nulls = b.column("t").slice(lo, hi - lo).is_null().to_pylist()
                 for d in range(hi - lo):
                     a, z = w.first[d], w.first[d + 1]
-                    gone_words = _covered(starts[lo + d], counts[d], window) if starts[lo + d] else None
+                    own = [x[lo + d] for x in runs_of]
+                    gone_words = _covered(*map(np.array, own), counts[d], window) if own[0] else None
                     if gone_words is None and not digests:
                         kept.append(None if nulls[d] else raw[offsets[d] : offsets[d + 1]].decode())
                         continue
@@ -263,5 +283,5 @@ def substring_dedup(df: DataFrame, text: str = "text", window: int = WINDOW, bit
                     kept.append(hashlib.sha256(joined_words).hexdigest() if digests else joined_words.decode())
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(lo, hi - lo) for k in range(len(carried))), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*[f"c{k}" for k in range(len(carried))], "n_words", "n_removed", "kept"])
 
-    out = joined.mapInArrow(run, ddl)
+    out = calm.mapInArrow(run, ddl).unionByName(touched.mapInArrow(run, ddl))
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(carried)], "n_words", "n_removed", F.col("kept").alias(result[2]))

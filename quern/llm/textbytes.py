@@ -1,12 +1,16 @@
 """Words and windows of words of many texts at once, straight from Arrow's UTF-8 buffers with numpy.
 
-Hashes are prefix sums modulo 2**64: each byte's random value times a power of an odd base, summed; the sum between two
-places times the inverse power is the hash of what lies between. Words hash their bytes so, windows hash their words so,
-and a final mix spreads the bits. No Python loop runs over words.
+A word's hash takes its bytes eight at a time, all words in step; words of more than LONGEST bytes are hashed by BLAKE2b.
+Windows join the hashes of their words pairwise, in runs of 1, 2, 4, 8, ... words. Each step multiplies and folds and none
+is linear, so words and windows that are built from few letters by a rule don't cancel out, as they do in sums of powers.
+There are two halves, made apart: 64 bits where a false hit costs little, 128 where equality must hold: among 10**13
+windows (100 TB) a false pair is then to be expected once in 10**12 corpora. No Python loop runs over words.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,8 +18,10 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: Bytes of text that are worked on at a time (one text at least), which bounds memory.
 PIECE_BYTES = 2 << 20
-#: Bytes whose prefix sums are held at a time.
-SLICE = 1 << 16
+#: Windows that are joined at a time.
+STEP = 1 << 16
+#: Bytes of a word that are hashed in steps.
+LONGEST = 64
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -34,24 +40,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=U64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_POW, _INV = _powers(_BASE, SLICE + 1), _powers(_INVERSE, SLICE + 1)
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers and inverse powers up to n, grown as needed."""
-    global _POW, _INV
-    if len(_POW) <= n:
-        _POW, _INV = _powers(_BASE, 2 * n), _powers(_INVERSE, 2 * n)
-    return _POW, _INV
+def joined(x: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each k neighbours along the last axis of 64-bit numbers."""
+    m = x.shape[-1] - k + 1
+    run, size, out, done = x, 1, None, 0
+    while True:
+        if k & size:
+            part = run[..., done : done + m]
+            out, done = part if out is None else _pair(out, part), done + size
+        if 2 * size > k:
+            return mix(out ^ U64(k))
+        run, size = _pair(run[..., :-size], run[..., size:]), 2 * size
+
+
+def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    z = x * U64(0x9E3779B97F4A7C15)
+    z += y
+    z ^= z >> U64(32)
+    z *= U64(0xD6E8FEB86659FD93)
+    z ^= z >> U64(29)
+    return z
+
+
+#: By the number of bytes that count, which of eight do.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)
+
+
+def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """2 x words: 128 bits of each word."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    sizes = ends - starts
+    out = np.stack([mix(sizes.astype(U64) + U64(0x243F6A8885A308D3)), mix(sizes.astype(U64) + U64(0x13198A2E03707344))])
+    for at in range(0, LONGEST, 8):
+        some = np.flatnonzero((sizes > at) & (sizes <= LONGEST)) if at else np.flatnonzero(sizes <= LONGEST)
+        if not len(some):
+            break
+        part = eight[starts[some] + at] & _FIRST[np.minimum(sizes[some] - at, 8)]
+        out[0, some] = _pair(out[0, some], part)
+        out[1, some] = _pair(part, out[1, some])
+    for k in np.flatnonzero(sizes > LONGEST).tolist():
+        out[:, k] = np.frombuffer(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=16).digest(), dtype=U64)
+    return np.stack([mix(x) for x in out])
 
 
 def texts(column) -> tuple[np.ndarray, np.ndarray]:
@@ -78,10 +108,10 @@ def pieces(column, size: int = PIECE_BYTES):
 
 
 class Words:
-    """The words of some texts. starts, ends: their bytes; first: n + 1 offsets of each text's words; hashes: 64 bits each."""
+    """The words of some texts. starts, ends: their bytes; first: n + 1 offsets of each text's words; lanes: the two halves of their hashes."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = False, hashed: bool = True):
-        self.data, n = data, len(data)
+        n = len(data)
         solid = ~_SPACE[data]
         begins = np.zeros(n, dtype=bool)  # texts begin here
         begins[offsets[:-1][offsets[:-1] < n]] = True
@@ -90,47 +120,38 @@ class Words:
         closes[:-1] &= ~solid[1:] | begins[1:]
         self.starts, self.ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        self.fold = fold
-        self.hashes = self._hash() if hashed else None
-
-    def _hash(self) -> np.ndarray:
-        out, starts, ends = np.empty(len(self.starts), dtype=U64), self.starts, self.ends
-        lo = 0
-        while lo < len(starts):
-            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + SLICE, side="right")))
-            base = starts[lo]
-            part = self.data[base : ends[hi - 1]]
-            power, inverse = _tables(len(part))
-            values = _BYTE[_FOLD[part] if self.fold else part]
-            values *= power[: len(part)]
-            sums = np.zeros(len(part) + 1, dtype=U64)
-            np.cumsum(values, out=sums[1:])
-            a, b = starts[lo:hi] - base, ends[lo:hi] - base
-            out[lo:hi] = (sums[b] - sums[a]) * inverse[a]
-            lo = hi
-        return mix(out)
+        self.lanes = _hash_words(_FOLD[data] if fold else data, self.starts, self.ends) if hashed else None
+
+    @property
+    def hashes(self) -> np.ndarray:
+        """64 bits of each word."""
+        return self.lanes[0]
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def windows(self, k: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """First word and hash of each window of k words inside one text; with short, a shorter text's words are one window."""
-        n, counts = len(self.hashes), self.counts()
-        power, inverse = _tables(max(n, 1))
-        sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum(self.hashes * power[:n], out=sums[1:])
-        span = np.full(n, k)
-        fits = np.ones(n, dtype=bool)
-        last = np.repeat(self.first[1:], counts) - np.arange(n)  # words from here to the text's end
-        if short:
-            head = np.zeros(n, dtype=bool)
-            head[self.first[:-1][counts > 0]] = True
-            fits = (last >= k) | head
-            span = np.minimum(last, k)
-        else:
-            fits = last >= k
-        at = np.flatnonzero(fits)
-        return at, mix((sums[at + span[at]] - sums[at]) * inverse[at] + span[at].astype(U64))
+    def windows(self, k: int, short: bool = False, lanes: int = 1) -> tuple[np.ndarray, ...]:
+        """First word and hash (one for each lane) of each window of k words inside one text; with short, a shorter text's words are one window."""
+        n, counts = self.lanes.shape[1], self.counts()
+        left = np.repeat(self.first[1:], counts) - np.arange(n)  # words from here to the text's end
+        at = np.flatnonzero(left >= k)
+        out = []
+        for lane in self.lanes[:lanes]:
+            spans = np.empty(max(n - k + 1, 0), dtype=U64)
+            for lo in range(0, len(spans), STEP):
+                spans[lo : lo + STEP] = joined(lane[lo : lo + STEP + k - 1], k)
+            out.append(spans[at])
+        if short and (few := (counts > 0) & (counts < k)).any():
+            heads, sizes = self.first[:-1][few], counts[few]
+            own = [np.empty(len(heads), dtype=U64) for _ in out]
+            for m in range(1, k):
+                some = np.flatnonzero(sizes == m)
+                for lane, x in zip(self.lanes, own, strict=False):
+                    x[some] = joined(lane[heads[some][:, None] + np.arange(m)], m)[:, 0] if len(some) else x[some]
+            at = np.append(at, heads)
+            order = np.argsort(at, kind="stable")
+            at, out = at[order], [np.append(x, y)[order] for x, y in zip(out, own, strict=True)]
+        return (at, *out)
 
     def text_of(self, at: np.ndarray) -> np.ndarray:
         """The texts that these words are in."""

@@ -163,3 +163,111 @@ def test_words_and_windows_from_buffers():
             for x, h in f:
                 by[x].add(h)
         assert all(len(h) == 1 for h in by.values()) and len({*map(tuple, by.values())}) == len(by)
+
+
+def morse(n, a="a", b="b"):
+    """n letters of a and b by the rule whose sums of powers cancel out, and the same with a and b exchanged."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return [(b if x else a) for x in bits], [(a if x else b) for x in bits]
+
+
+def test_words_and_windows_built_by_a_rule_are_told_apart(spark):
+    x, y = ("".join(w) for w in morse(1024))
+    p, q = ("".join(w) for w in morse(64, "ab", "ba"))  # eight letters at a time
+    shared = " ".join(f"s{k}" for k in range(34))
+    texts = [f"{shared} {x}", f"{shared} {y}", x, y, f"{shared} {p}", f"{shared} {q}"]
+    data = [(k, t, "en", "s", 1, 1, "h") for k, t in enumerate(texts)]
+    got = substring_dedup.substring_dedup(frame(spark, data), bits=1 << 16)
+    assert [r.n_removed for r in got.collect()] == [0] * len(data)
+    near = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, data)).collect()}
+    assert near[2] == 2 and near[3] == 3
+    for n in (32, 1024):
+        lanes = [Words(np.frombuffer(" ".join(w).encode(), np.uint8), np.array([0, 2 * n - 1])).windows(n, lanes=2) for w in morse(n)]
+        assert lanes[0][1] != lanes[1][1] and lanes[0][2] != lanes[1][2]
+
+
+def test_windows_are_those_of_their_words_alone():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abc", k=rng.randint(0, 40))) for _ in range(50)] + ["x" * 63, "x" * 64, "x" * 65, "x" * 66, None]
+    (_, _, data, offsets), = pieces(pa.array(texts), 1 << 20)
+    w = Words(data, offsets)
+    for k in (1, 2, 3, 5, 18, 35):
+        seen = defaultdict(set)
+        for at, *h in zip(*w.windows(k, short=True, lanes=2), strict=True):
+            d = int(w.text_of(np.array([at]))[0])
+            own = words(texts[d])
+            seen[tuple(own[at - w.first[d] : at - w.first[d] + k])].add(tuple(map(int, h)))
+        assert all(len(h) == 1 for h in seen.values()) and len({h for v in seen.values() for h in v}) == len(seen)
+        assert set(seen) == {tuple(x[a : a + k]) for x in map(words, texts) if x for a in range(max(len(x) - k + 1, 1))}
+
+
+def counted(monkeypatch):
+    """Rows of what near-dedup writes, by tag."""
+    seen, write = Counter(), minhash.materialise
+
+    def materialise(df, tag):
+        out = write(df, tag)
+        seen[tag] += out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "materialise", materialise)
+    return seen
+
+
+def test_a_group_below_the_threshold_costs_no_pairs(spark, monkeypatch):
+    """Sets whose similarities are all 0.73: candidates grow as the sets do, and comparing them in full gives no rows."""
+    costs = []
+    for n in (100, 200):
+        data = [(k, " ".join([*(f"b{j}" for j in range(300)), *(f"own{k}x{j}" for j in range(55))]), "en", "s", 1, 1, "h") for k in range(n)]
+        a, b = shingles(data[0][1]), shingles(data[1][1])
+        assert 0.72 < len(a & b) / len(a | b) < 0.74
+        with monkeypatch.context() as m:
+            seen = counted(m)
+            got = [(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, data)).collect()]
+        assert Counter(got) == Counter(brute_components(data))
+        costs.append((seen["candidates"], seen["joins"]))
+    assert 0 < costs[1][0] <= 3 * costs[0][0] and costs[0][1] == costs[1][1] == 0
+
+
+def test_recall_near_the_threshold(spark):
+    """10,000 pairs at similarities from 0.75 to 0.80, none like another pair: at least 0.999 of them are linked."""
+    rng = random.Random(11)
+    data, near = [], 0
+    for k in range(10_000):
+        w = [f"p{k}w{j}" for j in range(90)]
+        other = list(w)
+        at, n = rng.randint(4, 20), rng.randint(6, 8)
+        other[at : at + n] = [f"q{k}w{j}" for j in range(n)]
+        a, b = shingles(" ".join(w)), shingles(" ".join(other))
+        near += 0.75 <= len(a & b) / len(a | b) <= 0.80
+        data += [(2 * k, " ".join(w), "en", "s", 1, 1, "h"), (2 * k + 1, " ".join(other), "en", "s", 1, 1, "h")]
+    assert near == 10_000
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, data), keep_text=False).collect()}
+    want = {k: c for k, _, c in ((x[0], 0, x[0] - x[0] % 2 if linked(data, x[0]) else x[0]) for x in data)}
+    assert sum(got[k] == want[k] for k in want) >= 0.999 * len(want)
+    assert all(c in (k, k - k % 2) for k, c in got.items())
+
+
+def linked(data, k):
+    a, b = (shingles(data[j][1]) for j in (k - k % 2, k - k % 2 + 1))
+    return 100 * len(a & b) >= 75 * len(a | b)
+
+
+def test_common_elements_are_counted_exactly():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(0, 300), dtype=np.uint64)) for _ in range(30)]
+    for width in (7, 4096):
+        got = minhash._common(sets[:12], sets[12:], width)
+        assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[12:]] for a in sets[:12]]
+
+
+def test_texts_longer_than_a_piece(spark):
+    rng = random.Random(8)
+    giant = " ".join(f"g{rng.randint(0, 10**6)}" for _ in range(400_000))
+    assert len(giant) > 2 << 20
+    passage = " ".join(giant.split()[300_000:300_060])
+    data = [(1, giant, "en", "s", 1, 1, "h"), (2, f"{giant} more", "en", "s", 1, 1, "h"), (3, passage, "en", "s", 1, 1, "h"), (4, "", "en", "s", 1, 1, "h")]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, data), keep_text=False).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+    cut = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(frame(spark, data), bits=1 << 22, digests=True).collect()}
+    assert cut == {1: (400_000, 400_000), 2: (400_001, 400_000), 3: (60, 60), 4: (0, 0)}
