@@ -58,10 +58,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, row_group: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, survives lost executors, and is computed once.
 
-    The tables of an application lie in a folder of its own, which goes when this process ends.
+    The tables of an application lie in a folder of its own, which goes when this process ends. Small row groups (in bytes)
+    let the table be read by more tasks than wrote it.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -69,7 +70,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     if own not in _FOLDERS:
         _FOLDERS[own] = sc._jvm, sc._jsc.hadoopConfiguration()
     path = f"{own}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("parquet.block.size", row_group) if row_group else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -126,9 +128,10 @@ def member_filter(hashes: DataFrame):
     return test
 
 
-def salted_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left", salt: int = 8) -> DataFrame:
-    """rows joined with a table of one row a key, where any key may have a large share of the rows: they are dealt to `salt` copies of the table's."""
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c not in on]), F.lit(salt)))
+def salted_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left", by: list[str] | None = None, salt: int = 8) -> DataFrame:
+    """rows joined with a table of one row a key, where any key may have a large share of the rows: they are dealt, by the columns
+    `by` (all but the key), to `salt` copies of the table's."""
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in by or rows.columns if c not in on]), F.lit(salt)))
     right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 

@@ -299,7 +299,7 @@ def _links(pairs: DataFrame, full: DataFrame, block: int) -> DataFrame:
     """The pairs (a, b) that hold on full sets; a set meets up to about BLOCK others or FULL shingles at a time."""
     own = pairs.withColumnRenamed("b", "s").join(full, "s").select("a", F.col("s").alias("b"), "n", "full")
     parts = own.groupBy("a").agg(_blocks(F.count("*"), F.sum("n"), block).alias("parts"))
-    others = salted_join(own.drop("n"), parts, ["a"], "inner").select("a", "b", "full", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
+    others = salted_join(own.drop("n"), parts, ["a"], "inner", ["b"]).select("a", "b", "full", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
     itself = parts.withColumnRenamed("a", "s").join(full, "s").select(F.col("s").alias("a"), F.lit(None).cast("binary").alias("b"), "full", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     return others.unionByName(itself).groupBy("a", "part").applyInArrow(_verified, "a binary, b binary")
 
@@ -308,7 +308,7 @@ def _joins(member: DataFrame, state: DataFrame, full: DataFrame, block: int) ->
     """Components (a, b) to be joined, by the keys (key, s) whose sets are in several; state: s, n, label."""
     known = member.join(state, "s").select("key", "s", "n", "label")
     still = known.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), _blocks(F.count("*"), F.sum("n"), block).alias("blocks")).filter("x <> y").select("key", "blocks")
-    dealt = salted_join(known, still, ["key"], "inner").select("key", "s", "label", "blocks", F.pmod(F.xxhash64("s"), "blocks").cast("int").alias("block"))
+    dealt = salted_join(known, still, ["key"], "inner", ["s"]).select("key", "s", "label", "blocks", F.pmod(F.xxhash64("s"), "blocks").cast("int").alias("block"))
     sides = dealt.join(full.select("s", "full"), "s").select("key", "label", "full", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     return sides.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", "full").groupBy("key", "i", "j").applyInArrow(_compared, "a binary, b binary").distinct()
 
@@ -391,8 +391,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", keep
         own = rows.select(F.col("id").alias(key), "n_shingles", "component_id")
     else:  # equal keys and texts have equal results
         rows = rows.dropDuplicates(["id", "k"]).withColumnRenamed("k", "_k").withColumnRenamed("id", "_id")
-        base = df.filter(F.col(key).isNotNull()).select(*[F.col(f"`{c}`") for c in carried])
-        own = base.join(rows, (base[key] == rows["_id"]) & (F.xxhash64(base[text]) == rows["_k"])).drop("_id", "_k")
+        base = df.filter(F.col(key).isNotNull()).select(*[F.col(f"`{c}`") for c in carried], F.xxhash64(F.col(text)).alias("_k"))
+        own = base.join(rows, (base[key] == rows["_id"]) & (base["_k"] == rows["_k"])).drop("_id", "_k")
     lone = df.filter(F.col(key).isNull()).select(F.col(text).alias("t"), F.monotonically_increasing_id().alias("k"), *[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(carried)])
 
     def count(batches):

@@ -9,7 +9,7 @@ whole block. So of two equal windows, each text's block is met by a rolling bloc
 2. Probe and extend: every rolling block of every text probes the index (a block doesn't count as meeting itself). Around
    each hit the match is extended to full windows, which are compared by 128 bits of their words: equal windows are
    brought together and all of them confirmed. Overlapping confirmed windows make the maximal repeats.
-3. Remove: texts get the confirmed runs of their own content and lose the words. A filter of fixed size lets only texts
+3. Remove: texts get the confirmed places of their own content and lose the words. A filter of fixed size lets only texts
    that may have some through to that join; the others are never shuffled.
 
 A filter has false hits, never misses; they cost shuffle, not results: a window is confirmed only by its equal. Beyond
@@ -87,7 +87,7 @@ def build_filter(df: DataFrame, block: int, bits: int = FILTER_BITS, ranges: int
 
     rows = df.select("t").mapInArrow(addresses, "range int, own binary").groupBy("range").applyInArrow(layers, "range int, once binary, twice binary")
     once, twice = np.zeros(bits // 8, dtype=np.uint8), np.zeros(bits // 8, dtype=np.uint8)
-    for r in rows.collect():  # two layers of fixed size in all
+    for r in materialise(rows, "substring-filter").toLocalIterator():  # two layers of fixed size in all
         lo = r["range"] * part // 8
         once[lo : lo + part // 8] = np.frombuffer(r["once"], np.uint8)
         twice[lo : lo + part // 8] = np.frombuffer(r["twice"], np.uint8)
@@ -126,20 +126,18 @@ def _text_key(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
-def _runs(texts: np.ndarray, which: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
-    """A row for each run of words of a text (texts: 2 x 64 bits each) where confirmed windows start: the first and the last."""
+def _by_text(texts: np.ndarray, which: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
+    """A row for each text (2 x 64 bits): the words, ascending and once each, where confirmed windows start."""
     p, q = texts[which, 0], texts[which, 1]
     order = np.lexsort((word, q, p))
-    p, q, word = p[order], q[order], word[order].astype(np.int64)
-    new = np.ones(len(word), dtype=bool)
-    new[1:] = (p[1:] != p[:-1]) | (q[1:] != q[:-1]) | (word[1:] - word[:-1] > 1)
-    begins = np.flatnonzero(new)
-    ends = np.append(begins[1:], len(word))[: len(begins)] - 1
-    raw = np.stack([p[begins], q[begins]], axis=1).tobytes()
-    return pa.RecordBatch.from_pydict({"k": pa.array([raw[a : a + 16] for a in range(0, len(raw), 16)], pa.binary()), "first": pa.array(word[begins], pa.int32()), "last": pa.array(word[ends], pa.int32())})
-
-
-_RUNS = "k binary, first int, last int"
+    p, q, word = p[order], q[order], word[order]
+    other = np.ones(len(word), dtype=bool)
+    other[1:] = (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+    new = other.copy()
+    new[1:] |= word[1:] != word[:-1]
+    p, q, word, begins = p[new], q[new], word[new].astype(_U32), np.flatnonzero(other[new])
+    raw, packed, ends = np.stack([p[begins], q[begins]], axis=1).tobytes(), word.tobytes(), np.append(begins[1:], len(word))
+    return pa.RecordBatch.from_pydict({"k": pa.array([raw[a : a + 16] for a in range(0, len(raw), 16)], pa.binary()), "starts": pa.array([packed[4 * a : 4 * z] for a, z in zip(begins.tolist(), ends.tolist(), strict=False)], pa.binary())})
 
 
 def _probe(once, twice, window, block, buckets):
@@ -190,7 +188,7 @@ def _unpack(texts: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray, np.nda
 def _settled(batches):
     for b in batches:
         for texts, places in zip(b.column("texts").to_pylist(), b.column("places").to_pylist(), strict=True):
-            yield _runs(*_unpack(texts, places))
+            yield _by_text(*_unpack(texts, places))
 
 
 def _confirm(table: pa.Table) -> pa.Table:
@@ -209,19 +207,20 @@ def _confirm(table: pa.Table) -> pa.Table:
     h = h[:, order]
     equal = (h[:, 1:] == h[:, :-1]).all(axis=0)
     back = order[(np.append(equal, False) | np.append(False, equal)) & ~np.concatenate(more)[order]]
-    return pa.Table.from_batches([_runs(np.concatenate(texts), np.concatenate(which)[back], np.concatenate(words)[back])])
+    return pa.Table.from_batches([_by_text(np.concatenate(texts), np.concatenate(which)[back], np.concatenate(words)[back])])
 
 
-def _covered(first: np.ndarray, last: np.ndarray, n: int, window: int) -> np.ndarray:
-    """Which of a text's n words lie in windows that start in these runs."""
+def _covered(starts: list[bytes], n: int, window: int) -> np.ndarray:
+    """Which of a text's n words lie in windows that start at these."""
     change = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(change, first, 1)
-    np.add.at(change, np.minimum(last + window, n), -1)
+    at = np.unique(np.concatenate([np.frombuffer(s, _U32) for s in starts])).astype(np.int64)
+    np.add.at(change, at, 1)
+    np.add.at(change, np.minimum(at + window, n), -1)
     return np.cumsum(change)[:n] > 0
 
 
 def repeated(df: DataFrame, text: str = "text", window: int = WINDOW, bits: int = FILTER_BITS) -> DataFrame:
-    """k (128 bits of the text), first and last: the runs of words where repeated windows start; a run may come in several parts, none twice."""
+    """k (128 bits of the text) and starts (words where repeated windows start, packed in 32 bits each), for texts that have some; several rows a text."""
     ship(df.sparkSession)
     block = (window + 1) // 2
     src = df.filter(F.col(text).isNotNull()).select(_text_key(F.col(text)).alias("k"), F.col(text).alias("t"))
@@ -235,9 +234,9 @@ def repeated(df: DataFrame, text: str = "text", window: int = WINDOW, bits: int
         yield from _probe(*shared.value, window, block, buckets)(batches)
 
     found = materialise(src.mapInArrow(probe, "kind tinyint, bucket int, texts binary, places binary, cells binary"), "substring-probe")
-    at_once = found.filter("kind = 0").mapInArrow(_settled, _RUNS)
-    met = found.filter("kind = 1").groupBy("bucket").applyInArrow(_confirm, _RUNS)
-    out = materialise(at_once.unionByName(met).distinct(), "substring-runs")
+    at_once = found.filter("kind = 0").mapInArrow(_settled, "k binary, starts binary").distinct()  # copies of a text settle alike in most pieces
+    met = found.filter("kind = 1").groupBy("bucket").applyInArrow(_confirm, "k binary, starts binary")
+    out = materialise(at_once.unionByName(met), "substring-places")
     discard(found)
     shared.unpersist()
     return out
@@ -248,9 +247,9 @@ def substring_dedup(df: DataFrame, text: str = "text", window: int = WINDOW, bit
 
     With digests, kept_sha256 of the remaining words joined by single spaces stands in the text's place.
     """
-    runs = repeated(df, text, window, bits)
-    gone = materialise(runs.groupBy("k").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last")), "substring-texts")
-    discard(runs)
+    places = repeated(df, text, window, bits)
+    gone = materialise(places.groupBy("k").agg(F.collect_list("starts").alias("starts")), "substring-texts")
+    discard(places)
     result = ["n_words", "n_removed", "kept_sha256" if digests else text]
     carried = [c for c in df.columns if c != text and c.lower() not in result]
     base = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carried)], F.col(f"`{text}`").alias("t"))
@@ -261,7 +260,7 @@ def substring_dedup(df: DataFrame, text: str = "text", window: int = WINDOW, bit
 
     def run(batches):
         for b in batches:
-            runs_of = [x.to_pylist() for x in (b.column("first"), b.column("last"))] if "first" in b.schema.names else [[None] * b.num_rows] * 2
+            starts = b.column("starts").to_pylist() if "starts" in b.schema.names else [None] * b.num_rows
             for lo, hi, data, offsets in pieces(b.column("t")):
                 raw = data.tobytes()
                 w = Words(data, offsets, hashed=False)
@@ -269,8 +268,7 @@ def substring_dedup(df: DataFrame, text: str = "text", window: int = WINDOW, bit
                 nulls = b.column("t").slice(lo, hi - lo).is_null().to_pylist()
                 for d in range(hi - lo):
                     a, z = w.first[d], w.first[d + 1]
-                    own = [x[lo + d] for x in runs_of]
-                    gone_words = _covered(*map(np.array, own), counts[d], window) if own[0] else None
+                    gone_words = _covered(starts[lo + d], counts[d], window) if starts[lo + d] else None
                     if gone_words is None and not digests:
                         kept.append(None if nulls[d] else raw[offsets[d] : offsets[d + 1]].decode())
                         continue
