@@ -15,7 +15,7 @@ from .tree import Node
 
 _OPERATORS: dict[str, Callable[..., Column]] = {
     "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": F.try_divide, "%": lambda a, b: F.try_mod(a, b), "safe_divide": F.try_divide,
-    "=": lambda a, b: a == b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
+    "=": lambda a, b: a == b, "<=>": lambda a, b: a.eqNullSafe(b), "is_distinct": lambda a, b: ~a.eqNullSafe(b), "<>": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
     "not": lambda a: ~a, "negate": lambda a: -a, "is_null": lambda a: a.isNull(), "is_not_null": lambda a: a.isNotNull(), "between": lambda x, a, b: x.between(a, b),
 }
 
@@ -57,7 +57,7 @@ def build(n: Node, field: Callable[[str], Column]) -> Column:
             out = out & sub(k) if n.value == "and" else out | sub(k)
         return out
     if n.value in ("like", "ilike"):
-        return getattr(sub(0), n.value)(str(n.args[1].value))
+        return getattr(F, n.value)(sub(0), sub(1))
     if n.value in _OPERATORS:
         return _OPERATORS[n.value](*[sub(k) for k in range(len(n.args))])
     if n.value == "date_trunc":
@@ -68,7 +68,7 @@ def build(n: Node, field: Callable[[str], Column]) -> Column:
 
 #: Arguments that builders take as plain values.
 _PLAIN = {
-    "concat_ws": {0}, "position": {0}, "translate": {1, 2}, "round": {1}, "date_part": {0}, "extract": {0}, "date_add": {1, 2}, "date_sub": {1, 2}, "date_diff": {0},
+    "concat_ws": {0}, "translate": {1, 2}, "round": {1}, "date_part": {0}, "extract": {0}, "date_add": {1, 2}, "date_sub": {1, 2}, "date_diff": {0},
     "regexp_match": {1, 2}, "regexp_extract": {1, 2},
 }
 

@@ -9,7 +9,7 @@ from ..errors import ModelError
 from ..functions import SPELLINGS, aggregate_name, known
 from .tree import Node, call, lit
 
-_BINARY = {"add": "+", "subtract": "-", "multiply": "*", "divide": "/", "mod": "%", "eq": "=", "ne": "<>", "not_eq": "<>", "neq": "<>", "lt": "<", "lte": "<=", "lt_eq": "<=", "le": "<=", "gt": ">", "gte": ">=", "gt_eq": ">=", "ge": ">=", "safe_divide": "safe_divide"}
+_BINARY = {"add": "+", "subtract": "-", "multiply": "*", "divide": "/", "mod": "%", "eq": "=", "ne": "<>", "not_eq": "<>", "neq": "<>", "lt": "<", "lte": "<=", "lt_eq": "<=", "le": "<=", "gt": ">", "gte": ">=", "gt_eq": ">=", "ge": ">=", "eq_null_safe": "<=>", "is_distinct_from": "is_distinct", "safe_divide": "safe_divide"}
 #: Named arguments of block functions, in the order of the function's arguments.
 _NAMED = {
     "substring": ("col", "start", "length"), "trim": ("col", "chars"), "ltrim": ("col", "chars"), "rtrim": ("col", "chars"), "replace": ("col", "old", "new"), "lpad": ("col", "length", "pad"), "rpad": ("col", "length", "pad"),

@@ -81,14 +81,13 @@ def _part(part, x):
 
 
 def _shift(sign: int):
+    """Dates stay dates when days or more are added; timestamps keep their time of day."""
     def build(d, amount, unit="day"):
         unit = str(literal(unit)).lower().rstrip("s")
         if isinstance(amount, Column):
             if unit != "day":
                 raise ModelError("FN_E_LITERAL", "only days may vary by row")
-            return F.date_add(d, (amount * sign).cast("int"))
-        if unit == "day":
-            return F.date_add(d, sign * int(amount)) if sign > 0 else F.date_sub(d, int(amount))
+            return d + (amount * sign).cast("int").cast("interval day")
         return d + F.expr(f"interval '{sign * int(amount)}' {unit}")
 
     return build
@@ -102,7 +101,7 @@ def _diff(*args):
 
 def _regexp_match(s, pattern, full=False):
     p = str(literal(pattern))
-    return s.rlike(f"^(?:{p})$" if full else p)
+    return s.rlike(rf"\A(?:{p})\z" if full else p)  # $ would stand before a last line end, too
 
 
 _any_order(
@@ -111,12 +110,12 @@ _any_order(
     ("trim", 1, 2, _trim("both")), ("ltrim", 1, 2, _trim("leading")), ("rtrim", 1, 2, _trim("trailing")),
     ("concat", 1, None, F.concat), ("concat_ws", 2, None, lambda sep, *xs: F.concat_ws(str(literal(sep)), *xs)),
     ("replace", 3, 3, F.replace), ("lpad", 2, 3, lambda s, n, pad=" ": F.lpad(s, n, pad)), ("rpad", 2, 3, lambda s, n, pad=" ": F.rpad(s, n, pad)),
-    ("reverse", 1, 1, F.reverse), ("left", 2, 2, F.left), ("right", 2, 2, F.right), ("position", 2, 2, lambda sub, s: F.locate(str(literal(sub)), s)),
+    ("reverse", 1, 1, F.reverse), ("left", 2, 2, F.left), ("right", 2, 2, F.right), ("position", 2, 2, F.position),
     ("split_part", 3, 3, F.split_part), ("starts_with", 2, 2, F.startswith), ("ends_with", 2, 2, F.endswith), ("contains", 2, 2, F.contains),
     ("initcap", 1, 1, F.initcap), ("repeat", 2, 2, F.repeat), ("translate", 3, 3, lambda s, a, b: F.translate(s, str(literal(a)), str(literal(b)))), ("md5", 1, 1, F.md5),
     ("abs", 1, 1, F.abs), ("round", 1, 2, lambda x, n=0: F.round(x, n if isinstance(n, int) else literal(n))), ("ceil", 1, 1, F.ceil), ("floor", 1, 1, F.floor),
     ("sqrt", 1, 1, F.sqrt), ("power", 2, 2, F.power), ("exp", 1, 1, F.exp), ("ln", 1, 1, F.ln), ("log", 2, 2, lambda b, x: F.ln(x) / F.ln(b)), ("log10", 1, 1, F.log10),
-    ("sign", 1, 1, lambda x: F.signum(x).cast("int")), ("mod", 2, 2, lambda a, b: a % b), ("trunc", 1, 1, lambda x: F.signum(x) * F.floor(F.abs(x))),
+    ("sign", 1, 1, lambda x: F.signum(x).cast("int")), ("mod", 2, 2, F.try_mod), ("trunc", 1, 1, lambda x: F.signum(x) * F.floor(F.abs(x))),
     ("date_part", 2, 2, _part), ("extract", 2, 2, _part),
     ("date_add", 2, 3, _shift(1)), ("date_sub", 2, 3, _shift(-1)), ("date_diff", 2, 3, _diff),
     ("to_date", 1, 1, F.to_date), ("to_timestamp", 1, 1, F.to_timestamp_ntz), ("current_date", 0, 0, F.current_date), ("current_timestamp", 0, 0, F.current_timestamp),

@@ -6,13 +6,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..errors import RequestError
 
 
 def values(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     """Inline rows; each must fit the schema."""
-    width = len(schema.split(","))
+    width = len(StructType.fromDDL(schema).fields)
     if any(len(r) != width for r in rows):
         raise RequestError("PLAN_E_ARITY", f"rows of {width} values are wanted")
     return spark.createDataFrame(rows, schema)
