@@ -7,12 +7,13 @@ from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from .errors import QuernError, RequestError
 from .expr import Node, build, fields, lit, parse
 from .model import Kind, Measure, Model, load
-from .operators import aggregate, relational, windows
+from .operators import aggregate, relational, temporal, windows
 from .plans import adhoc
 from .plans.context import Plan, finish, quoted, temporal_dims
 from .plans.kinds import rows
@@ -36,7 +37,7 @@ class Engine:
         """What is wrong with a request; nothing if it can be answered."""
         try:
             self.query(raw)
-        except QuernError as e:
+        except (QuernError, AnalysisException) as e:  # Spark finds types that don't fit
             return [str(e)]
         return []
 
@@ -116,8 +117,21 @@ class Engine:
         p = Plan(self.sources, dims, measures, group, below, grains, axes, r.as_of, r.between, self.fanout)
         df = aggregate.aggregate(p, finish(p, rows(p, k)))
         p.note(f"group by {', '.join(group) or 'nothing'}: {', '.join(measures) or 'distinct rows'}")
+        if r.fill_gaps:
+            df = self._filled(k, p, df)
         return self._above(r, k, p, df, select, above), p.notes
 
+    def _filled(self, k: Kind, p: Plan, df: DataFrame) -> DataFrame:
+        """The aggregate with a row for each period that a series misses between its first and last, without values."""
+        axis = next(iter(temporal_dims({n: p.dims[n] for n in p.group})), None)
+        if axis is None:
+            raise RequestError("PLAN_E_GAPS", "filling gaps needs a temporal dimension in the request")
+        grain = p.grains.get(axis) or next((x.temporal.grain for x in k.leaves() if x.temporal and x.temporal.grain), None)
+        if grain is None:
+            raise RequestError("PLAN_E_GAPS", f"filling gaps of {axis} needs its grain")
+        p.note(f"fill gaps of {axis} by {grain}")
+        return temporal.fill_gaps(df, axis, grain, [g for g in p.group if g != axis])
+
     def _collect(self, k: Kind, name: str, extra: tuple[Node, ...], out: dict[str, Measure], tag: str = "") -> None:
         """The measures that a field needs; those of a filtered metric under names of their own."""
         name = windows.split(name)[0]

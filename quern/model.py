@@ -19,6 +19,8 @@ METRIC_DEPTH = 3
 KIND_DEPTH = 2
 STRATEGIES = {"latest", "earliest", "average", "first", "last"}
 CARDINALITIES = {"one_to_one", "one_to_many", "many_to_one", "many_to_many"}
+#: Aggregates that a dimension which isn't a number may be measured by.
+OVER_DIMENSIONS = {"min", "max", "count", "count_distinct", "approx_count_distinct", "string_agg"}
 FORMATS = {"parquet", "csv", "json", "orc", "avro", "iceberg"}
 
 
@@ -83,6 +85,7 @@ class Relationship:
     how: str = "inner"
     filter: Node | None = None
     cross_filter: str | None = None
+    as_of: bool = False
 
 
 @dataclass(frozen=True)
@@ -92,17 +95,21 @@ class Storage:
     tables: tuple[str, ...] = ()
     options: tuple[tuple[str, Any], ...] = ()
     catalog: str | None = None
+    partition_def: dict | None = None
 
 
 @dataclass(frozen=True)
 class Temporal:
-    """shape: timeseries, events, snapshot or scd."""
+    """shape: timeseries, events, snapshot or scd. Versions of today: those whose flag is set, else those whose end is open_ended
+    (null, or a value that stands for it); "none" says that neither can be told, so each key's last version counts."""
 
     shape: str
     axis: str
     until: str | None = None
     scd_type: str = "type2"
     grain: str | None = None
+    current: str | None = None
+    open_ended: Any = None
 
 
 @dataclass(frozen=True)
@@ -129,6 +136,10 @@ class Kind:
     def fields(self) -> set[str]:
         return {*self.dimensions, *self.measures, *self.metrics}
 
+    def has_places(self) -> bool:
+        """Whether fields come from where the data lies."""
+        return any(d.metadata for d in self.dimensions.values()) or any(isinstance(v, dict) and "metadata" in v for v in (self.mapping or {}).values())
+
     def leaves(self) -> list[Kind]:
         return [self] if self.kind == "dataset" else [x for c in self.children for x in c.leaves()]
 
@@ -189,6 +200,8 @@ def _plain(v: Any) -> Any:
 
 
 def _dimension(raw: dict) -> Dimension:
+    if "filter" in raw or "filters" in raw:
+        raise ModelError("MODEL_E_FILTER", f"{raw['name']}: a dimension takes no filter; use the kind's filters")
     kind = raw.get("type") or "categorical"
     body: Any = {}
     if isinstance(kind, dict):
@@ -257,7 +270,18 @@ def _storage(raw: dict | None, name: str) -> Storage | None:
     if fmt and fmt not in FORMATS:
         raise ModelError("MODEL_E_STORAGE", f"{name}: unknown format {fmt}")
     known = {"format", "paths", "tables", "partition_def", "catalog"}
-    return Storage(fmt, paths, tables, tuple((k, v) for k, v in {**(raw.get("options") or {}), **{k: v for k, v in raw.items() if k not in known | {"options"}}}.items()), raw.get("catalog"))
+    return Storage(fmt, paths, tables, tuple((k, v) for k, v in {**(raw.get("options") or {}), **{k: v for k, v in raw.items() if k not in known | {"options"}}}.items()), raw.get("catalog"), _partitions(raw.get("partition_def"), name))
+
+
+def _partitions(raw: dict | None, name: str) -> dict | None:
+    """How the author says that files are partitioned: by ranges or listed values of a column, which must be among those read."""
+    if raw is None:
+        return None
+    if raw.get("type") not in ("range", "list") or not raw.get("column"):
+        raise ModelError("MODEL_E_STORAGE", f"{name}: partitions are a range or a list of a column")
+    if extra := set(raw) - {"type", "column"} - ({"values"} if raw["type"] == "list" else set()):
+        raise ModelError("MODEL_E_STORAGE", f"{name}: partitions have no {sorted(extra)}")
+    return dict(raw)
 
 
 def _temporal(raw: dict | None, name: str) -> Temporal | None:
@@ -279,12 +303,20 @@ def _temporal(raw: dict | None, name: str) -> Temporal | None:
     scd = str(x.get("scd_type", "type2"))
     if shape == "scd" and scd == "type2" and not until:
         raise ModelError("MODEL_E_TEMPORAL", f"{name}: type 2 needs valid_to")
-    return Temporal(shape, axis, until, scd, grain)
+    return Temporal(shape, axis, until, scd, grain, x.get("current_flag"), x.get("open_ended"))
 
 
 _HOW = {"none": "inner", "left": "left", "right": "right", "both": "full", "inner": "inner", "full": "full"}
 
 
+def _cross(raw: dict, name: str) -> str | None:
+    """Which side receives the other's filters: none, left, right or both. Not said: both, as a join has it."""
+    x = raw.get("cross_filter")
+    if x is not None and x not in ("none", "left", "right", "both"):
+        raise ModelError("MODEL_E_RELATIONSHIP", f"{name}: unknown cross filter {x}")
+    return x
+
+
 def relationship(raw: dict) -> Relationship:
     name = raw.get("name", f"{raw.get('from')}_{raw.get('to')}")
     keys = tuple((parse(k["from"]), parse(k["to"])) for k in raw.get("keys") or raw.get("columns") or ())
@@ -301,7 +333,7 @@ def relationship(raw: dict) -> Relationship:
         how = "none" if trusted == "enforced" or (trusted == "assumed" and card == "many_to_one") else "left"
     if how not in _HOW:
         raise ModelError("MODEL_E_RELATIONSHIP", f"{name}: unknown join {how}")
-    return Relationship(name, raw["from"], raw["to"], keys, card, _HOW[how], parse(raw["filter"]) if raw.get("filter") else None, raw.get("cross_filter"))
+    return Relationship(name, raw["from"], raw["to"], keys, card, _HOW[how], parse(raw["filter"]) if raw.get("filter") else None, _cross(raw, name), bool(raw.get("as_of")))
 
 
 class _Loader:
@@ -351,6 +383,8 @@ class _Loader:
         own = Kind(kind, name, dims, measures, metrics)
         filters = {f.get("name", f"filter{n}") if isinstance(f, dict) else f"filter{n}": parse(f["expr"] if isinstance(f, dict) and "expr" in f else f) for n, f in enumerate(raw.get("filters") or ())}
         keys = raw.get("keys") or {}
+        if any(isinstance(x, dict) and ("filter" in x or "filters" in x) for g in keys.values() for x in (g if isinstance(g, list) else [g])):
+            raise ModelError("MODEL_E_FILTER", f"{name}: a key takes no filter; use the kind's filters")
         ids = lambda k: _tuple(k.get("fields") if isinstance(k, dict) else k)
         mapping = extras.get("semantic_mapping", extras.get("column_mapping", raw.get("column_mapping")))
         if mapping == "auto":
@@ -423,6 +457,8 @@ def _check_metrics(k: Kind) -> None:
     for m in k.measures.values():
         if m.expr is not None and (other := (fields(m.expr) & set(k.measures)) - {m.name}):
             raise ModelError("MODEL_E_MEASURE", f"{k.name}.{m.name} can't refer to measures {sorted(other)}")
+        if m.expr is not None and m.expr.op == "field" and m.agg not in OVER_DIMENSIONS and (d := k.dimensions.get(m.expr.value)) is not None and isinstance(d.data_type, (T.StringType, T.BooleanType, T.DateType, T.TimestampNTZType)):
+            raise ModelError("MODEL_E_AGG", f"{k.name}.{m.name}: {m.agg} over the dimension {d.name}; only {', '.join(sorted(OVER_DIMENSIONS))} are allowed")
     for c in k.children:
         _check_metrics(c)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import RequestError
 from ..expr import Node, build, fields, fold, lit, substitute
 from ..model import Dimension, Kind, Measure
-from ..sources import Sources, location
+from ..sources import Sources, location, token
 from ..types import is_temporal, truncate
 
 #: Columns of row frames: a measure's input, a key of a join, an untouched copy of an axis.
@@ -32,6 +32,7 @@ class Plan:
     as_of: Any = None
     between: tuple | None = None
     fanout: str = "guard"
+    history: bool = False
     notes: list[str] = field(default_factory=list)
 
     def note(self, text: str) -> None:
@@ -75,8 +76,8 @@ def typed_null(t) -> Column:
 class Leaf:
     """Names of a dataset, turned into columns of what is stored."""
 
-    def __init__(self, k: Kind, df: DataFrame):
-        self.k, self.df = k, df
+    def __init__(self, k: Kind, df: DataFrame, at: str | None = None):
+        self.k, self.df, self.at = k, df, at
         self.columns = {c.lower(): c for c in df.columns}
 
     def literals(self) -> dict[str, Node]:
@@ -111,7 +112,7 @@ class Leaf:
         if m is not None:
             c = self._mapped(m, inner)
         elif d is not None and d.metadata:
-            c = location(*d.metadata)
+            c = self.place(*d.metadata)
         elif d is not None and d.expr is not None:
             c = build(fold(substitute(d.expr, self.literals())), inner)
         elif d is not None and d.buckets and d.bucket_of:
@@ -122,6 +123,19 @@ class Leaf:
             c = bucket(c, d)
         return c.cast(d.data_type) if d is not None and d.data_type is not None else c
 
+    def place(self, kind: str, index: int) -> Column:
+        """A part of the source's location: known before reading where the author's path has it, else from each file's name."""
+        known = token(self.at, kind, index)
+        return location(kind, index) if known is None else F.lit(known)
+
+    def known(self) -> dict[str, Node]:
+        """Fields that have one value in all rows of the source."""
+        out = dict(self.literals())
+        for n, d in self.k.dimensions.items():
+            if d.metadata and (v := token(self.at, *d.metadata)) is not None:
+                out[n] = lit(v)
+        return out
+
     def _mapped(self, m: Any, inner) -> Column:
         if isinstance(m, str):
             return self.physical(m)
@@ -132,7 +146,7 @@ class Leaf:
             return self.physical(v)
         if tag == "metadata":
             (how, n), = v.items()
-            return location("path" if how.startswith("path") else "partition", int(n))
+            return self.place("path" if how.startswith("path") else "partition", int(n))
         from ..expr import parse
 
         return build(parse(v if tag == "expr" else m), self.physical)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..errors import RequestError
 from ..expr import build, fields
 from ..model import Dimension, Kind, Relationship
+from ..operators import temporal
+from ..operators.aggregate import MERGE
 from .context import AXIS, INPUT, Frame, Plan, finish, quoted
 
 _REVERSED = {"inner": "inner", "left": "right", "right": "left", "full": "full"}
@@ -59,6 +61,30 @@ def repeated(steps: list[tuple[Relationship, str, bool]], anchor: str) -> set[st
     return out
 
 
+def check_as_of(k: Kind, r: Relationship, by_name: dict[str, Kind], back: bool) -> None:
+    """An as-of join goes from rows that have a time to versions or snapshots, forwards, as an inner or left join."""
+    a, b = by_name[r.source].temporal, by_name[r.target].temporal
+    if a is None or b is None or not a.axis or not b.axis:
+        raise RequestError("PLAN_E_1721", f"{k.name}.{r.name}: both sides of an as-of join need a time")
+    versions = b.shape == "scd" and b.scd_type != "type1" and b.until
+    if a.shape == "scd" or not (versions or (b.shape == "snapshot" and a.shape != "snapshot")):
+        raise RequestError("PLAN_E_1720", f"{k.name}.{r.name}: no as-of join from {a.shape} to {b.shape}")
+    if back or r.how not in ("inner", "left") or r.filter is not None or r.cardinality not in ("many_to_one", "one_to_one"):
+        raise RequestError("PLAN_E_1720", f"{k.name}.{r.name}: an as-of join goes forwards to one row, inner or left, without a filter")
+
+
+def as_of(df, right, r: Relationship, by_name: dict[str, Kind], name):
+    """df with the version of the target that held, or the last snapshot taken, at each row's time."""
+    a, b = by_name[r.source].temporal, by_name[r.target].temporal
+    keys = [f"__key{n}" for n in range(len(r.keys))]
+    left = df.withColumns({x: build(own, lambda f: quoted(name(r.source, f))) for x, (own, _) in zip(keys, r.keys, strict=True)})
+    right = right.withColumns({x: build(own, lambda f: quoted(name(r.target, f))) for x, (_, own) in zip(keys, r.keys, strict=True)} | {"__met": F.lit(True)})
+    take = [c for c in right.columns if c not in keys]
+    right = right.filter(reduce(lambda x, y: x & y, [quoted(x).isNotNull() for x in keys]))
+    out = temporal.asof_join(left, right, keys, name(r.source, a.axis), name(r.target, b.axis), take, name(r.target, b.until) if b.until else None)
+    return (out.filter("__met") if r.how == "inner" else out).drop(*keys, "__met")
+
+
 def join_rows(p: Plan, k: Kind, rows, provides) -> Frame:
     have = {c.name: provides(p, c) for c in k.children}
     wanted = {*p.dims, *p.measures}
@@ -91,14 +117,24 @@ def join_rows(p: Plan, k: Kind, rows, provides) -> Frame:
         for r, _, _ in steps:
             if r.filter is not None:
                 extra |= {f.split(".")[-1] for f in fields(r.filter) if f.split(".")[0] == c or ("." not in f and r.target == c)}
+            if r.as_of and c in (r.source, r.target):
+                t = by_name[c].temporal
+                extra |= {t.axis} | ({t.until} if r.target == c and t.until else set())
         dims = {d: p.dims[d] for d in p.dims if owner[d] == c} | {f: by_name[c].dimensions.get(f, Dimension(f)) for f in extra if f not in p.dims or owner.get(f) != c}
-        part = p.part(dims=dims, measures={m: x for m, x in p.measures.items() if owner[m] == c}, filters=(), grains={}, axes=(), group=tuple(dims))
+        part = p.part(dims=dims, measures={m: x for m, x in p.measures.items() if owner[m] == c}, filters=(), grains={}, axes=(), group=tuple(dims), history=any(r.as_of and r.target == c for r, _, _ in steps))
         df = rows(part, by_name[c]).df
         return df.select(*[quoted(x).alias(name(c, x)) for x in df.columns])
 
+    for r, _, back in steps:
+        if r.as_of:
+            check_as_of(k, r, by_name, back)
     df = side(anchor)
     p.note(f"join from {anchor}")
     for r, c, back in steps:
+        if r.as_of:
+            df = as_of(df, side(c), r, by_name, name)
+            p.note(f"{r.how} join {c} as of {by_name[r.source].temporal.axis}")
+            continue
         right = side(c)
         on = [build(a, lambda f, r=r: quoted(name(r.source, f))) == build(b, lambda f, r=r: quoted(name(r.target, f))) for a, b in r.keys]
         if r.filter is not None:
@@ -116,12 +152,20 @@ def join_rows(p: Plan, k: Kind, rows, provides) -> Frame:
             df = df.filter(build(n, lambda f: quoted(name(owner.get(f) or next(c for c in line if name(c, f) in df.columns), f))))
     if not counted:
         return Frame(df.select(*dims, *inputs(p.measures)))
-    # measures of repeated children: once for each of their rows in each group
-    ids = {c: [quoted(name(c, f)).alias(f"__id_{number[c]}_{f}") for f in by_name[c].primary] for c in counted}
-    full = finish(p, Frame(df.select(*dims, *inputs(p.measures), *[i for c in counted for i in ids[c]])))
     axes = [AXIS.format(a) for a in p.axes]
     groups = [*p.group, *axes]
     plain = [m for m in p.measures if owner[m] not in counted]
+    if len(counted) == 1 and all(p.measures[m].agg in MERGE for m in plain):
+        # one pass over the join: the other sides' measures add up in each group for each row of the repeated child, which so stands once
+        c = next(iter(counted))
+        ids = [quoted(name(c, f)).alias(f"__id_{f}") for f in by_name[c].primary]
+        full = finish(p, Frame(df.select(*dims, *inputs(p.measures), *ids)))
+        once = [(MERGE[p.measures[m].agg] if m in plain else F.any_value)(quoted(INPUT.format(m))).alias(INPUT.format(m)) for m in p.measures]
+        p.note(f"rows of {c} once a group")
+        return Frame(full.groupBy(*map(quoted, groups), *[quoted(f"__id_{f}") for f in by_name[c].primary]).agg(*once).select(*map(quoted, groups), *[quoted(INPUT.format(m)) for m in p.measures]), True)
+    # measures of repeated children: once for each of their rows in each group
+    ids = {c: [quoted(name(c, f)).alias(f"__id_{number[c]}_{f}") for f in by_name[c].primary] for c in counted}
+    full = finish(p, Frame(df.select(*dims, *inputs(p.measures), *[i for c in counted for i in ids[c]])))
     types = dict(full.dtypes)
     parts = []
     if plain:

@@ -38,6 +38,7 @@ class Request:
     between: tuple[Any, Any] | None = None
     named: tuple[str, ...] = ()
     variables: tuple[tuple[str, Any], ...] = ()
+    fill_gaps: bool = False
 
 
 def _filter(raw: Any) -> Filter:
@@ -88,6 +89,6 @@ def request(raw: dict | Request) -> Request:
     filters = tuple(_filter(f) for f in raw.get("filters") or () if not isinstance(f, str))
     if (limit := raw.get("limit")) is not None and limit < 0 or raw.get("offset", 0) < 0:
         raise RequestError("PLAN_E_LIMIT", "limit and offset can't be negative")
-    return Request(tuple(names), raw.get("from"), filters, tuple(grains), raw.get("grain"), tuple(_order(o) for o in raw.get("order_by") or ()), limit, raw.get("offset", 0), raw.get("as_of"), tuple(raw["between"]) if raw.get("between") else None, named, tuple((raw.get("variables") or {}).items()))
+    return Request(tuple(names), raw.get("from"), filters, tuple(grains), raw.get("grain"), tuple(_order(o) for o in raw.get("order_by") or ()), limit, raw.get("offset", 0), raw.get("as_of"), tuple(raw["between"]) if raw.get("between") else None, named, tuple((raw.get("variables") or {}).items()), bool(raw.get("fill_gaps")))
 
 

@@ -62,3 +62,26 @@ def truncate(c: Column, grain: str, to: T.DataType | None) -> Column:
     if isinstance(to, T.DateType) and rank(grain) >= rank("day"):
         return c.cast("date") if grain == "day" else F.trunc(c.cast("date"), grain)
     return F.date_trunc(grain, c).cast(to if to is not None and is_temporal(to) else "timestamp_ntz")
+
+
+_WIDER = (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.FloatType(), T.DoubleType())
+_DIGITS = {T.ByteType(): 3, T.ShortType(): 5, T.IntegerType(): 10, T.LongType(): 20}
+_TIMES = (T.DateType(), T.TimestampNTZType(), T.TimestampType())
+
+
+def widest(name: str, a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type that holds both: nulls take the other's, numbers and times the wider one's; others must agree."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    for order in (_WIDER, _TIMES):
+        if a in order and b in order:
+            return order[max(order.index(a), order.index(b))]
+    if any(isinstance(x, T.DecimalType) for x in (a, b)) and all(isinstance(x, T.DecimalType) or x in _WIDER for x in (a, b)):
+        if any(isinstance(x, (T.FloatType, T.DoubleType)) for x in (a, b)):
+            return T.DoubleType()
+        parts = [(x.precision - x.scale, x.scale) if isinstance(x, T.DecimalType) else (_DIGITS[x], 0) for x in (a, b)]
+        whole, scale = (max(x) for x in zip(*parts, strict=True))
+        return T.DecimalType(min(whole + scale, 38), scale)
+    raise ModelError("PLAN_E_TYPE", f"{name}: {a.simpleString()} and {b.simpleString()} have no common type")
