@@ -6,11 +6,13 @@ sum_{i<j} <v_i, v_j> x_i x_j = ((sum_i v_i x_i)^2 - sum_i v_i^2 x_i^2) / 2, summ
 
 Training sees a bounded sample of labelled rows (SAMPLE, those with the smallest hash of their key); their features are
 made on the executors, the model is fitted on the driver and is of fixed size (BUCKETS x (RANK + 1) numbers), so it can be
-broadcast. Scoring is one narrow pass over whole texts. Features come from numpy over Arrow buffers, PIECE_BYTES at a time.
+broadcast. The sample's features go to the driver, 8 bytes each: one for each distinct word bucket of a row, so BUCKETS a row at
+most (2 GB for a sample of nothing but the longest texts; 21 MB as measured). Scoring is one narrow pass over whole texts. Features come from numpy over Arrow buffers, PIECE_BYTES at a time.
 
 Never inputs of a score: labels, and any column but the text and the named metadata. Cases: a null or empty text has only
 its structure features; null metadata is a value of its own; without labels (or with one class) the score is 0.5 (or the
-class's smoothed share) for all. Rows labelled twice count twice, null labels don't count. Other columns are carried along.
+class's smoothed share) for all. Rows labelled twice count twice, null labels don't count. Texts of any length are scored
+whole. Other columns are carried along. An empty table gives no rows.
 """
 
 from __future__ import annotations

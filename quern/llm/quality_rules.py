@@ -4,7 +4,8 @@ Every statistic of a text comes from one pass over its array of words or lines,
 no user function runs. Each rule is a name, a statistic and its bounds, so a table from a configuration file works too.
 
 Cases: a null or empty text has no words, fails the base and isn't kept. Statistics look only at the text, so null ids,
-repeated rows and ties need no rule. Columns of the input that clash with a result's name are replaced by the result.
+repeated rows and ties need no rule. Texts of any length are taken whole, each in its row. Columns of the input that clash
+with a result's name are replaced by the result. An empty table gives no rows.
 """
 
 from __future__ import annotations
