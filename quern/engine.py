@@ -41,18 +41,24 @@ class Engine:
             return [str(e)]
         return []
 
-    def drift(self, stored: dict[str, dict[str, str]]) -> list[str]:
-        """How datasets' columns differ from stored ones ({dataset: {column: type}})."""
+    def drift(self, stored: dict[str, dict]) -> list[str]:
+        """How datasets' columns differ from stored ones ({dataset: {column: type, or [type, whether it may be null]}})."""
         out = []
         for name, was in stored.items():
-            now = dict(self.sources.rows(self.model.kinds[name]).dtypes)
+            fields_now = self.sources.rows(self.model.kinds[name]).schema.fields
+            now, may = {f.name: f.dataType.simpleString() for f in fields_now}, {f.name: f.nullable for f in fields_now}
+            null = {c: t[1] for c, t in was.items() if not isinstance(t, str)}
+            was = {c: t if isinstance(t, str) else t[0] for c, t in was.items()}
+            out += [f"{name}: {c} {'may' if may[c] else 'can no longer'} be null" for c, n in null.items() if c in may and may[c] != n]
             out += [f"{name}: {c} is gone" for c in was if c not in now]
             out += [f"{name}: {c} is new" for c in now if c not in was]
             out += [f"{name}: {c} was {t}, is {now[c]}" for c, t in was.items() if c in now and now[c] != t]
         return out
 
-    def columns(self) -> dict[str, dict[str, str]]:
-        return {k.name: dict(self.sources.rows(k).dtypes) for k in self.model.kinds.values() if k.kind == "dataset"}
+    def columns(self, nullable: bool = False) -> dict[str, dict]:
+        """Columns of datasets with their types, as drift() takes them; with nullable, also whether they may be null."""
+        told = lambda f: [f.dataType.simpleString(), f.nullable] if nullable else f.dataType.simpleString()
+        return {k.name: {f.name: told(f) for f in self.sources.rows(k).schema.fields} for k in self.model.kinds.values() if k.kind == "dataset"}
 
     # requests
 

@@ -135,3 +135,36 @@ def test_types_that_do_not_fit_are_told(spark):
     assert e.validate({"from": "j", "select": ["segment", "revenue"]}) == []
     d = model(dataset("orders", [("o_orderkey", "long"), ("bad", "boolean", "o_orderdate AND o_orderkey")], [("n", "count", "o_orderkey")]))
     assert Engine(spark, d, catalogue.read(spark, DIR, "orders")).validate({"from": "orders", "select": ["bad", "n"]})
+
+
+def test_catalogs_tell_what_they_hold(spark, tmp_path):
+    from quern.sources.catalogs import Catalog, open_catalogs
+
+    for name in ("cat_sales_a", "cat_sales_b", "cat_other"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.range(3).selectExpr("id", "date'2024-01-01' AS day").write.partitionBy("day").option("path", f"{tmp_path}/{name}").saveAsTable(name)
+    try:
+        c = Catalog(spark)
+        assert c.list_tables("default", "cat_sales_?") == ["cat_sales_a", "cat_sales_b"] and "cat_other" in c.list_tables()
+        assert c.exists("default.cat_other") and not c.exists("default.cat_none")
+        assert c.schema("default.cat_other") == {"id": ("bigint", True), "day": ("date", True)}
+        m = c.metadata("default.cat_other")
+        assert m.location.endswith("cat_other") and m.provider == "parquet" and m.partitions == ("day",) and m.grain == "day"
+        for ask in (c.schema, c.metadata):
+            with pytest.raises(ModelError, match="CAT_E_TABLE"):
+                ask("default.cat_none")
+        d = dataset("sales", [("day", "date")], [("n", "count", "id")], extras={"storage": {"tables": ["default.cat_sales_*"]}})
+        assert [r.n for r in Engine(spark, model(d)).query({"from": "sales", "select": ["n"]}).collect()] == [6]
+    finally:
+        for name in ("cat_sales_a", "cat_sales_b", "cat_other"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    opened = open_catalogs(spark, {"catalogs": [{"name": "lake", "spark_catalog": "lake_rest", "uri": "http://${HOST:-localhost}:1", "type": "rest"}]})
+    assert opened["lake"].name == "lake_rest" and spark.conf.get("spark.sql.catalog.lake_rest.uri") == "http://localhost:1"
+
+
+def test_drift_sees_nulls(spark):
+    e = Engine(spark, model(dataset("t", [("id", "long")], [("n", "count", "id")])), {"t": spark.range(2)})
+    stored = e.columns(nullable=True)
+    assert stored == {"t": {"id": ["bigint", False]}} and e.drift(stored) == e.drift(e.columns()) == []
+    later = Engine(spark, model(dataset("t", [("id", "long")], [("n", "count", "id")])), {"t": spark.range(2).selectExpr("nullif(id, 0) AS id")})
+    assert later.drift(stored) == ["t: id may be null"]
