@@ -1,11 +1,14 @@
 """Mixing sources to target weights: repetition rates from totals per source, then whole copies plus one by a seeded hash.
 
 Totals are partial sums, so a hot source costs one row a task. The targets come from one window over the table of
-sources (a row a source). The table of rates is joined back to the documents without a hint, so a large one is shuffled
-and a hot source is split by adaptive execution.
+sources (a row a source). That table is written and counted: up to SOURCES sources and SOURCE_BYTES bytes of names it is
+broadcast, so that documents are never shuffled; beyond, documents are dealt to copies of it by salt, so a hot source is split.
+
+Each document is drawn by itself, so a source's taken words spread around its target by the sizes of its documents: a source
+of few documents may miss it by a document or more, a large one comes near (see the README for figures).
 
 Cases: null texts have size 0; a null source is a source of its own, last in order; a source without words has rate 0.
-Rows are drawn one by one from a hash of seed, id, source and text: equal rows get equal copies, reruns agree, and a
+Texts of any length are taken whole. Rows are drawn one by one from a hash of seed, id, source and text: equal rows get equal copies, reruns agree, and a
 null id is hashed as such. Columns that clash with a result's name are replaced by it. An empty table gives no rows.
 """
 
@@ -14,7 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, own_name
+from .common import materialise, n_words, own_name, salted_join
+
+#: The most sources, and bytes of their names, of a table that is broadcast.
+SOURCES, SOURCE_BYTES = 100_000, 8 << 20
 
 
 def rates(totals: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
@@ -46,18 +52,26 @@ def draw(seed: int, *key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def with_copies(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=(1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
-    """df with size, source_size, target and copies, the number of times that the mix takes the row."""
-    sized = df.withColumn("size", n_words(F.col(text)))
+def with_copies(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=(1, 2, 3), most: int = 3, seed: int = 0, keep_text: bool = True) -> DataFrame:
+    """df (without its text unless keep_text: then words are counted once) with size, source_size, target and copies, the number of times that the mix takes the row."""
+    h = own_name(df, "mix_text")
+    sized = df.withColumns({"size": n_words(F.col(text)), h: F.md5(F.col(text))})  # the hash tells apart rows that share an id, or have none
+    if not keep_text:
+        sized = materialise(sized.drop(text), "sizes")
     totals = sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
     s, a, b = own_name(df, "mix_source"), own_name(df, "mix_size"), own_name(df, "mix_target")
-    table = rates(totals, weights, most).select(F.col("source").alias(s), F.col("source_size").alias(a), F.col("target").alias(b))
-    joined = sized.join(table, sized[source].eqNullSafe(table[s]), "left")
+    table = materialise(rates(totals, weights, most).select(F.col("source").alias(s), F.col("source_size").alias(a), F.col("target").alias(b)), "rates")
+    n, size = table.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(s)), F.lit(0))).first()
+    if n <= SOURCES and size <= SOURCE_BYTES:
+        joined = sized.join(F.broadcast(table), sized[source].eqNullSafe(table[s]), "left")
+    else:
+        c, lone = own_name(df, "mix_name"), own_name(df, "mix_lone")  # null as a value, for a join by equal names
+        named = lambda d, x: d.withColumns({c: F.coalesce(F.col(f"`{x}`"), F.lit("")), lone: F.col(f"`{x}`").isNull()})
+        joined = salted_join(named(sized, source), named(table, s).drop(s), [c, lone], "left", [key, h]).drop(c, lone)
     rate = F.coalesce(F.try_divide(F.col(b), F.col(a).cast("double")), F.lit(0.0))
     whole = F.floor(rate)
-    # F.md5 of the text tells apart rows that share an id, or have none
-    extra = (draw(seed, F.col(key), F.col(source), F.md5(F.col(text))) < rate - whole).cast("int")
-    return joined.withColumns({"source_size": F.col(a), "target": F.col(b), "copies": (whole + extra).cast("int")}).drop(s, a, b)
+    extra = (draw(seed, F.col(key), F.col(source), F.col(h)) < rate - whole).cast("int")
+    return joined.withColumns({"source_size": F.col(a), "target": F.col(b), "copies": (whole + extra).cast("int")}).drop(s, a, b, h)
 
 
 def mix(df: DataFrame, **options) -> DataFrame:

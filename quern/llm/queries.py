@@ -25,7 +25,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import with_copies
 
-    out = with_copies(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    out = with_copies(documents(spark, sf_dir).select("doc_id", "text", "source"), keep_text=False)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
