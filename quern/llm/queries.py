@@ -156,7 +156,7 @@ f AS (SELECT doc_id, k, row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id,
 g AS (SELECT DISTINCT doc_id, k + o AS k FROM f, (SELECT unnest([0, 1, 2]) AS o) WHERE nth > 1),
 r AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.k IS NULL) AS kept, count(n.k) AS n_lines, count(g.k) AS n_removed
       FROM l LEFT JOIN n USING (doc_id, i) LEFT JOIN g ON n.doc_id = g.doc_id AND n.k = g.k GROUP BY l.doc_id)
-SELECT doc_id, n_lines, n_removed AS n_removed_lines, md5(coalesce(kept, '')) AS kept_md5 FROM r
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed_lines, CASE WHEN d.text IS NOT NULL THEN md5(coalesce(kept, '')) END AS kept_md5 FROM documents d LEFT JOIN r USING (doc_id)
 """
 
 # a lower-case copy of A-Z alone; a text's 5-word shingles, or all of its words where it has fewer
