@@ -1,11 +1,13 @@
-"""Media columns: telephony audio stored as bytes in a table, read back, expanded and resampled.
+"""Media columns: telephony audio stored as bytes in a table, read back, expanded, resampled and stored as PCM.
 
 A payload is stored losslessly in a WAV container as 8-bit mu-law, 8-bit A-law or IMA ADPCM blocks. Reading it back,
 mu-law and A-law are expanded by lookup tables; ADPCM blocks, each of which starts from its own header, are decoded
-together: numpy walks the samples of a block in step for all blocks at once. The PCM is resampled to twice its rate.
+together: numpy walks the samples of a block in step for all blocks at once. The PCM is resampled to twice its rate and
+stored as 16-bit samples; features are computed from the PCM that is read back.
 
-All arrays are bounded by PIECE_BYTES of payload at a time (one longer text at least). Cases: null texts are empty and
-become one padded unit; equal texts give equal media. Other columns are carried along unless they clash with a result.
+Rows are taken from Arrow buffers, up to PIECE_BYTES of payload at a time (one longer text at least), which bounds all
+arrays. Cases: null texts are empty and become one padded unit, like empty ones; equal texts give equal media; texts of any
+length are stored whole. Other columns are carried along unless they clash with a result. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_name, ship
+from .common import materialise, own_name, shielded, ship
 from .textbytes import PIECE_BYTES, pieces
 
 UNIT = 192  # bytes of an ADPCM block, and of padding for all formats
@@ -102,13 +104,13 @@ def wav(payload: bytes, kind: str, rate: int = RATE) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def unwav(media: bytes) -> tuple[str, int, memoryview]:
-    """Format, rate and payload of such a file."""
+def unwav(media) -> tuple[str, int, memoryview]:
+    """Format, rate and payload of such a file (bytes or a buffer)."""
     view, at, kind, rate = memoryview(media), 12, "", 0
-    if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
+    if view[:4] != b"RIFF" or view[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
-    while at + 8 <= len(media):
-        name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
+    while at + 8 <= len(view):
+        name, size = view[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
         if name == b"fmt ":
             tag, _, rate = struct.unpack_from("<HHI", media, at + 8)
             kind = {v: k for k, v in TAGS.items()}[tag]
@@ -161,17 +163,15 @@ def to_media(df: DataFrame, text: str = "text", kind: str | None = None) -> Data
     return src.mapInArrow(run, ddl + "n_bytes bigint, media binary")
 
 
-def _groups(media: list[bytes]):
-    """Rows of up to PIECE_BYTES together, as unwav() gives them."""
-    rows, size = [], 0
-    for m in media:
-        rows.append(unwav(m))
-        size += len(rows[-1][2])
-        if size >= PIECE_BYTES:
-            yield rows
-            rows, size = [], 0
-    if rows:
-        yield rows
+def _groups(media: pa.Array):
+    """(first row, files, what unwav() finds in them) for runs of rows with up to PIECE_BYTES, without copying them."""
+    lo, files, size = 0, [], 0
+    for k in range(len(media)):
+        files.append(memoryview(media[k].as_buffer()))
+        size += len(files[-1])
+        if size >= PIECE_BYTES or k + 1 == len(media):
+            yield lo, files, [unwav(f) for f in files]
+            lo, files, size = k + 1, [], 0
 
 
 def _signals(rows) -> list[tuple[np.ndarray, int]]:
@@ -189,45 +189,51 @@ def _signals(rows) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def to_pcm(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with pcm (16-bit little-endian samples) and pcm_rate in place of media."""
-    kept, ddl = _ddl(df, media.lower(), "pcm", "pcm_rate")
+def to_pcm(df: DataFrame, media: str = "media", digests: bool = False) -> DataFrame:
+    """df with pcm (16-bit little-endian samples) and pcm_rate in place of media; with digests, also what is told of the stored bytes."""
+    names = [*(_DIGESTS if digests else ()), "pcm", "pcm_rate"]
+    kept, ddl = _ddl(df, media.lower(), *names)
     src = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{media}`").alias(own_name(df, "media")))
 
     def run(batches):
         for b in batches:
-            at = 0
-            for rows in _groups(b.column(b.num_columns - 1).to_pylist()):
+            for lo, files, rows in _groups(b.column(b.num_columns - 1)):
                 got = _signals(rows)
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(rows)) for c in b.columns[:-1]), pa.array([p.astype("<i2").tobytes() for p, _ in got], pa.binary()), pa.array([r for _, r in got], pa.int32())], names=[*b.schema.names[:-1], "pcm", "pcm_rate"])
-                at += len(rows)
+                told = [_told(f, kind, payload) for f, (kind, _, payload) in zip(files, rows, strict=True)] if digests else []
+                more = [pa.array(c, t) for c, t in zip(zip(*told, strict=True), _DIGESTS.values(), strict=True)] if told else []
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, len(rows)) for c in b.columns[:-1]), *more, pa.array([p.astype("<i2").tobytes() for p, _ in got], pa.binary()), pa.array([r for _, r in got], pa.int32())], names=[*b.schema.names[:-1], *names])
+
+    return src.mapInArrow(run, ddl + ("codec string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, " if digests else "") + "pcm binary, pcm_rate int")
+
 
-    return src.mapInArrow(run, ddl + "pcm binary, pcm_rate int")
+_DIGESTS = {"codec": pa.string(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string()}
+
+
+def _told(media: memoryview, kind: str, payload: memoryview) -> tuple:
+    return kind, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest()
 
 
 def _feature(kind: str, rate: int, pcm: np.ndarray) -> str:
     x = pcm.astype(np.int64)
     crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
     rms = int(np.sqrt(np.dot(x, x) / max(len(x), 1)))
-    return f"{kind}:{rate}:samples={len(x)}:peak={int(np.abs(x).max(initial=0))}:rms={rms}:crossings={crossings}:pcm={zlib.crc32(pcm.astype('<i2').tobytes()):08x}"
+    return f"{kind}:{rate}:samples={len(x)}:peak={int(np.abs(x).max(initial=0))}:rms={rms}:crossings={crossings}:pcm={zlib.crc32(pcm.tobytes()):08x}"
 
 
-def describe(df: DataFrame, media: str = "media") -> DataFrame:
-    """df without media, with digests of what is stored and read back and a feature string of the resampled signal."""
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    kept, ddl = _ddl(df, media.lower(), *names)
-    src = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{media}`").alias(own_name(df, "media")))
+def features(df: DataFrame) -> DataFrame:
+    """df, as to_pcm() gives it with digests, with a feature string of each signal in place of codec, pcm and pcm_rate."""
+    kept, ddl = _ddl(df, "codec", "pcm", "pcm_rate", "feature")
 
     def run(batches):
         for b in batches:
-            at = 0
-            column = b.column(b.num_columns - 1).to_pylist()
-            for rows in _groups(column):
-                out = []
-                for m, (kind, _, payload), (pcm, rate) in zip(column[at : at + len(rows)], rows, _signals(rows), strict=True):
-                    out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), _feature(kind, rate, pcm)))
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(rows)) for c in b.columns[:-1]), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], names=[*b.schema.names[:-1], *names])
-                at += len(rows)
-
-    return src.mapInArrow(run, ddl + "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+            pcm, rate, codec = b.column("pcm"), b.column("pcm_rate").to_pylist(), b.column("codec").to_pylist()
+            found = [_feature(codec[k], rate[k], np.frombuffer(pcm[k].as_buffer(), dtype="<i2")) for k in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(found, pa.string())], names=[*kept, "feature"])
+
+    return df.mapInArrow(run, ddl + "feature string")
+
+
+def describe(df: DataFrame, media: str = "media") -> DataFrame:
+    """df without media, with digests of what is stored and read back, and a feature string of the resampled signal, which is stored and read back, too."""
+    df, restored = shielded(df, "codec", "pcm", "pcm_rate")
+    return restored(features(materialise(to_pcm(df, media, digests=True), "pcm")))

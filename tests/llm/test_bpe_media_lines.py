@@ -125,8 +125,10 @@ def test_media_round_trip(spark, kind):
         p = t.ljust(max(192, -(-len(t) // 192) * 192))
         want[x[0], len(t), len(p), sha(p), zlib.crc32(p[-16:])] += 1
     assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
+    text = {x[0]: x[1] or "" for x in data if x[0] is not None}
     for r in got:
-        assert seen.setdefault(r.payload_sha256, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature) or True
+        if r.doc_id is not None:
+            assert seen.setdefault(text[r.doc_id], (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
     pcm = media_columns.to_pcm(media).collect()
     assert all(r.pcm_rate == 16000 and len(r.pcm) for r in pcm)
     assert {f"{zlib.crc32(r.pcm):08x}" for r in pcm} == {r.feature.rsplit("pcm=", 1)[1] for r in got}
