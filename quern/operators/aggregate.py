@@ -87,13 +87,15 @@ def percentiles(df: DataFrame, keys: list[str], wanted: dict[str, float]) -> Dat
     values of a group, only those that differ and lie within a 4096th of each other.
     """
     q = lambda c: F.col(f"`{c}`")
-    each = F.array(*[F.struct(F.lit(n).alias("__tag"), F.lit(float(at)).alias("__p"), quoted(INPUT.format(n)).cast("double").alias("__v")) for n, at in wanted.items()])
-    by = [*keys, "__tag", "__p"]
+    names = list(wanted)
+    each = F.array(*[F.struct(F.lit(k).alias("__tag"), quoted(INPUT.format(n)).cast("double").alias("__v")) for k, n in enumerate(names)])
+    by = [*keys, "__tag"]
+    share = F.element_at(F.array(*[F.lit(float(wanted[n])) for n in names]), F.col("__tag") + 1)
     counts = df.select(*map(q, keys), F.explode(each).alias("__e")).select(*map(q, keys), "__e.*").filter("__v is not null")
-    counts = counts.withColumn("__b", _bucket(F.col("__v"))).groupBy(*map(q, by), "__b", "__v").agg(F.count("*").alias("__n"))
+    counts = counts.groupBy(*map(q, by), "__v").agg(F.count("*").alias("__n")).withColumn("__b", _bucket(F.col("__v")))
     order = Window.partitionBy(*map(q, by)).orderBy("__b")
     buckets = counts.groupBy(*map(q, by), "__b").agg(F.sum("__n").alias("__n"))
-    buckets = buckets.withColumns({"__to": F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "__rank": (F.sum("__n").over(Window.partitionBy(*map(q, by))) - 1) * F.col("__p")})
+    buckets = buckets.withColumns({"__to": F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "__rank": (F.sum("__n").over(Window.partitionBy(*map(q, by))) - 1) * share})
     holds = lambda rank: (F.col("__to") - F.col("__n") <= rank) & (rank < F.col("__to"))
     hit = buckets.filter(holds(F.floor("__rank")) | holds(F.ceil("__rank")))
     hit = hit.select(*[q(c).alias(f"__h{n}") for n, c in enumerate(by)], F.col("__b").alias("__hb"), (F.col("__to") - F.col("__n")).alias("__before"), "__rank")
@@ -104,7 +106,7 @@ def percentiles(df: DataFrame, keys: list[str], wanted: dict[str, float]) -> Dat
     found = values.groupBy(*map(q, by)).agg(at(F.floor("__rank")).alias("__x"), at(F.ceil("__rank")).alias("__y"), F.first("__rank").alias("__rank"))
     value = F.col("__x") + (F.col("__y") - F.col("__x")) * (F.col("__rank") - F.floor("__rank"))
     group = list(map(q, keys)) or [F.lit(1).alias("__one")]
-    return found.groupBy(*group).agg(*[F.max(F.when(F.col("__tag") == n, value)).alias(n) for n in wanted])
+    return found.groupBy(*group).agg(*[F.max(F.when(F.col("__tag") == k, value)).alias(n) for k, n in enumerate(names)])
 
 
 def aggregate(p: Plan, df: DataFrame) -> DataFrame:
