@@ -1,11 +1,13 @@
 """Byte-level BPE: overlapping chunks are pre-tokenised in parallel and stitched where their boundaries meet.
 
 Texts of one chunk are encoded where they lie. A longer text becomes chunks, each reaching `overlap` characters into the
-next; the chunks are dealt out, so one giant text doesn't keep one task busy. Each chunk is split by the pattern from its
-own start. Two neighbours agree from the first boundary that both have inside their overlap, since a match depends only on
-where it starts and what follows; boundaries near a chunk's end, where what follows is cut off, don't count. Only these
-boundary lists meet per text; then each chunk encodes the piece between its two meeting points, and the ids join in order.
-If some pair of neighbours never meets (a run without boundaries longer than the overlap), that text is encoded whole.
+next; they are written once, in small row groups, so one giant text is read by many tasks. Each chunk is split by the
+pattern from its own start. Two neighbours agree from the first boundary that both have inside their overlap, since a match
+depends only on where it starts and what follows; boundaries near a chunk's end, where what follows is cut off, don't count.
+Only these boundary lists meet per text; then each chunk encodes the piece between its two meeting points. Neighbours that
+never meet (a run without boundaries longer than the overlap) are put together and encoded as one piece, no others with
+them. The pieces of a text pass one task in order, which keeps running digests and never holds a whole text, unless its ids
+are asked for. Where only counts are wanted, pieces give numbers alone.
 
 Pre-tokens are encoded by rank merges of the tokenizer library and remembered; decoding concatenates the ids' raw bytes.
 
@@ -19,6 +21,7 @@ import base64
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -100,12 +103,10 @@ def _tail(bounds: list[int], chunk: int, length: int) -> list[int]:
     return [b for b in bounds[:-2] if chunk <= b < length]
 
 
-def stitch(heads: list[list[int]], tails: list[list[int]], chunk: int, overlap: int) -> list[tuple[int, int]] | None:
-    """Each chunk's piece (start, end) from its start; an end of -1 is the text's. None if some neighbours never meet."""
+def stitch(heads: list[list[int]], tails: list[list[int]], chunk: int, overlap: int) -> list[tuple[int | None, int | None]]:
+    """Each chunk's piece (start, end) from its own start; an end of -1 is the text's. None: it goes on from, or into, a neighbour that it never meets."""
     meets = [meeting(tails[k], heads[k + 1], chunk, overlap) for k in range(len(heads) - 1)]
-    if any(m is None for m in meets):
-        return None
-    return list(zip([0, *meets], [*(chunk + m for m in meets), -1], strict=True))
+    return list(zip([0, *meets], [*(None if m is None else chunk + m for m in meets), -1], strict=True))
 
 
 def pre_tokens(codec: Codec, text: str, start: int, end: int) -> list[str]:
@@ -148,10 +149,12 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", chunk: in
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, t) for c, (_, t) in zip(cols, _TYPES, strict=False))], names=[*b.schema.names[:-1], *names])
 
     def cut(batches):
+        schema = pa.schema([("doc", pa.int64()), ("no", pa.int32()), ("part", pa.string())])
         for b in batches:
-            for row in b.to_pylist():
-                parts = list(chunks_of(row["text"], chunk, overlap))
-                yield pa.RecordBatch.from_pydict({"doc": [row["doc"]] * len(parts), "no": list(range(len(parts))), "n": [len(parts)] * len(parts), "part": parts}, schema=pa.schema([("doc", pa.int64()), ("no", pa.int32()), ("n", pa.int32()), ("part", pa.string())]))
+            for k in range(b.num_rows):  # a text at a time
+                parts = list(chunks_of(b.column("text")[k].as_py(), chunk, overlap))
+                first = [pa.concat_arrays([c.slice(k, 1), pa.nulls(len(parts) - 1, c.type)]) for c in b.columns[: len(carried)]]  # other columns stand with chunk 0
+                yield pa.RecordBatch.from_arrays([*first, pa.array([b.column("doc")[k].as_py()] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], names=[*(f"c{n}" for n in range(len(carried))), *schema.names])
 
     def split(batches):
         codec = Codec.of(path, pattern)
@@ -166,30 +169,86 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", chunk: in
     def meet(table: pa.Table) -> pa.Table:
         table = table.sort_by("no")
         at = stitch(table["head"].to_pylist(), table["tail"].to_pylist(), chunk, overlap)
-        n = table.num_rows
-        at = at or [(-1, -1)] * n  # never met: encoded whole
-        return pa.table({"doc": table["doc"], "no": table["no"], "start": pa.array([a for a, _ in at], pa.int32()), "stop": pa.array([z for _, z in at], pa.int32())})
+        lead = list(accumulate((k if a is not None else -1 for k, (a, _) in enumerate(at)), max))
+        return pa.table({"doc": table["doc"], "no": table["no"], "lead": pa.array(lead, pa.int32()), "start": pa.array([a for a, _ in at], pa.int32()), "stop": pa.array([z for _, z in at], pa.int32())})
+
+    def pieces(found: list[tuple[int, int, dict]]) -> pa.RecordBatch:
+        columns = {"doc": pa.array([d for d, _, _ in found], pa.int64()), "no": pa.array([n for _, n, _ in found], pa.int32()), "n_tokens": pa.array([r["n_tokens"] for _, _, r in found], pa.int64())}
+        if not count_only:
+            columns |= {"ids": pa.array([r["ids"] for _, _, r in found], pa.string()), "decoded": pa.array([r["decoded"] for _, _, r in found], pa.binary())}
+        return pa.RecordBatch.from_pydict(columns)
+
+    def digest(codec: Codec, tokens: list[str]) -> dict:
+        parts = codec.encode(tokens)
+        return {"n_tokens": sum(p[1] for p in parts)} if count_only else _digest(parts)
 
     def piece(batches):
         codec = Codec.of(path, pattern)
         for b in batches:
-            rows = [_digest(codec.encode(pre_tokens(codec, t, a, z))) for t, a, z in zip(b.column("part").to_pylist(), b.column("start").to_pylist(), b.column("stop").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("no"), pa.array([r["n_tokens"] for r in rows], pa.int64()), pa.array([r["ids"] for r in rows], pa.string()), pa.array([r["decoded"] for r in rows], pa.binary())], names=["doc", "no", "n_tokens", "ids", "decoded"])
+            yield pieces([(r["doc"], r["no"], digest(codec, pre_tokens(codec, r["part"], r["start"], r["stop"]))) for r in b.to_pylist()])
 
-    def join(table: pa.Table) -> pa.Table:
-        table = table.sort_by("no")
-        out = {"n_tokens": sum(table["n_tokens"].to_pylist()), "ids": " ".join(x for x in table["ids"].to_pylist() if x), "decoded": b"".join(table["decoded"].to_pylist())}
-        return pa.table({"doc": table["doc"][:1], **{n: pa.array([v], t) for (n, t), v in zip(_TYPES[: len(names)], _row(out, keep_ids), strict=False)}})
+    def merged(batches):
+        """Chunks that don't meet, in order: each run of them is one piece."""
+        codec, texts, start = Codec.of(path, pattern), [], 0
+        for b in batches:
+            for r in b.to_pylist():
+                if r["start"] is not None:
+                    texts, start = [], r["start"]
+                if r["stop"] is None:
+                    texts.append(r["part"][:chunk])
+                    continue
+                stop = r["stop"] if r["stop"] < 0 else chunk * len(texts) + r["stop"]
+                yield pieces([(r["doc"], r["lead"], digest(codec, pre_tokens(codec, "".join([*texts, r["part"]]), start, stop)))])
+
+    def join(batches):
+        """Pieces in order become a row for each text."""
+        doc, out = None, []
+
+        def begin():
+            return {"n_tokens": 0, "ids": hashlib.sha256(), "decoded": hashlib.sha256(), "list": []}
+
+        def end(state):
+            return (doc, state["n_tokens"], state["ids"].hexdigest(), state["decoded"].hexdigest(), state["list"])
+
+        state = begin()
+        for b in batches:
+            for r in b.to_pylist():
+                if r["doc"] != doc:
+                    out += [end(state)] if doc is not None else []
+                    doc, state = r["doc"], begin()
+                if r["ids"]:
+                    state["ids"].update((" " if state["n_tokens"] else "").encode() + r["ids"].encode())
+                    state["list"] += map(int, r["ids"].split()) if keep_ids else ()
+                state["n_tokens"] += r["n_tokens"]
+                state["decoded"].update(r["decoded"])
+            if out:
+                yield _rows(out)
+                out = []
+        if doc is not None:
+            yield _rows([end(state)])
+
+    def _rows(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, t) for c, (_, t) in zip(columns[1 : 1 + len(names)], _TYPES, strict=False))], names=["doc", *names])
 
     short = src.filter(~long).mapInArrow(whole, ", ".join(x for x in (base, result) if x))
-    longs = materialise(src.filter(long).withColumn("doc", F.monotonically_increasing_id()), "bpe-long")
-    parts = longs.select("doc", "text").mapInArrow(cut, "doc bigint, no int, n int, part string").repartition("doc", "no")
-    pieces = materialise(parts.mapInArrow(split, "doc bigint, no int, head array<int>, tail array<int>").groupBy("doc").applyInArrow(meet, "doc bigint, no int, start int, stop int"), "bpe-pieces")
-    placed = parts.join(pieces, ["doc", "no"])
-    met = placed.filter("start >= 0").mapInArrow(piece, "doc bigint, no int, n_tokens bigint, ids string, decoded binary").groupBy("doc").applyInArrow(join, f"doc bigint, {result}")
-    stitched = longs.drop("text").join(met, "doc").drop("doc")
-    unmet = longs.join(pieces.filter("start < 0").select("doc").distinct(), "doc", "left_semi").drop("doc").mapInArrow(whole, ", ".join(x for x in (base, result) if x))
-    out = short.unionByName(stitched).unionByName(unmet)
+    cuts = src.filter(long).withColumn("doc", F.monotonically_increasing_id())
+    cuts = cuts.select(*[f"c{k}" for k in range(len(carried))], "doc", "text").mapInArrow(cut, ", ".join(x for x in (base, "doc bigint, no int, part string") if x))
+    parts = materialise(cuts, "bpe-parts", row_group=1 << 20)
+    places = parts.select("doc", "no", "part").mapInArrow(split, "doc bigint, no int, head array<int>, tail array<int>").groupBy("doc").applyInArrow(meet, "doc bigint, no int, lead int, start int, stop int")
+    places = materialise(places, "bpe-pieces")
+    kind = "doc bigint, no int, n_tokens bigint" + ("" if count_only else ", ids string, decoded binary")
+    alone = F.col("start").isNotNull() & F.col("stop").isNotNull()
+    got = parts.select("doc", "no", "part").join(places.filter(alone), ["doc", "no"]).mapInArrow(piece, kind)
+    if not (unmet := places.filter(~alone)).isEmpty():
+        runs = parts.select("doc", "no", "part").join(unmet, ["doc", "no"]).repartition("doc", "lead").sortWithinPartitions("doc", "lead", "no")
+        got = got.unionByName(runs.mapInArrow(merged, kind))
+    if count_only:
+        got = got.groupBy("doc").agg(F.sum("n_tokens").alias("n_tokens"))
+    else:
+        got = got.repartition("doc").sortWithinPartitions("doc", "no").mapInArrow(join, f"doc bigint, {result}")
+    stitched = parts.filter("no = 0").select("doc", *[f"c{k}" for k in range(len(carried))]).join(got, "doc").drop("doc")
+    out = short.unionByName(stitched)
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(carried)], *names)
 
 
