@@ -3,7 +3,9 @@
 A payload is stored losslessly in a WAV container as 8-bit mu-law, 8-bit A-law or IMA ADPCM blocks. Reading it back,
 mu-law and A-law are expanded by lookup tables; ADPCM blocks, each of which starts from its own header, are decoded
 together: numpy walks the samples of a block in step for all blocks at once. The PCM is resampled to twice its rate and
-stored as 16-bit samples; features are computed from the PCM that is read back.
+stored as 16-bit samples; features are computed from the PCM that is read back. PCM takes several times its media's space, so
+where only what is told of them is wanted, texts are taken in PARTS parts by hash: each part's media and PCM are stored,
+read back and deleted before the next's, which reads the texts PARTS times and needs that part of the space.
 
 Rows are taken from Arrow buffers, up to PIECE_BYTES of payload at a time (one longer text at least), which bounds all
 arrays. Cases: null texts are empty and become one padded unit, like empty ones; equal texts give equal media; texts of any
@@ -15,17 +17,20 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, own_name, shielded, ship
+from .common import discard, materialise, own_name, shielded, ship
 from .textbytes import PIECE_BYTES, pieces
 
 UNIT = 192  # bytes of an ADPCM block, and of padding for all formats
 RATE = 8000
+#: Parts of the texts whose media and PCM lie on disk one after another.
+PARTS = 4
 MULAW, ALAW, ADPCM = "mulaw", "alaw", "ima_adpcm"
 TAGS = {MULAW: 7, ALAW: 6, ADPCM: 17}  # of WAV's format chunk
 FORMATS = tuple(TAGS)
@@ -237,3 +242,16 @@ def describe(df: DataFrame, media: str = "media") -> DataFrame:
     """df without media, with digests of what is stored and read back, and a feature string of the resampled signal, which is stored and read back, too."""
     df, restored = shielded(df, "codec", "pcm", "pcm_rate")
     return restored(features(materialise(to_pcm(df, media, digests=True), "pcm")))
+
+
+def told(df: DataFrame, text: str = "text", kind: str | None = None, parts: int = PARTS) -> DataFrame:
+    """What to_media() and describe() tell of every text, with media and PCM of one part of the texts stored at a time."""
+    out = []
+    for part in range(parts):
+        media = materialise(to_media(df.filter(F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(parts)) == part), text, kind), "media")
+        own, restored = shielded(media, "codec", "pcm", "pcm_rate")
+        pcm = materialise(to_pcm(own, digests=True), "pcm")
+        discard(media)
+        out.append(restored(materialise(features(pcm), "features")))
+        discard(pcm)
+    return reduce(lambda a, b: a.unionByName(b), out)

@@ -46,13 +46,9 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import discard, materialise
-    from .media_columns import describe, to_media
+    from .media_columns import told
 
-    stored = materialise(to_media(documents(spark, sf_dir).select("doc_id", "text")), "media")
-    out = describe(stored)  # the signals are stored by now
-    discard(stored)
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return told(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def byte_bpe() -> tuple[str, str]:
