@@ -128,12 +128,15 @@ def member_filter(hashes: DataFrame):
     return test
 
 
-def salted_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left", by: list[str] | None = None, salt: int = 8) -> DataFrame:
+def salted_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left", by: list[str] | None = None, salt: int = 8, merge: bool = False) -> DataFrame:
     """rows joined with a table of one row a key, where any key may have a large share of the rows: they are dealt, by the columns
-    `by` (all but the key), to `salt` copies of the table's."""
+    `by` (all but the key), to `salt` copies of the table's.
+
+    With `merge` the table is never broadcast. Spark takes its size for that of one copy, and for a file's packed size, so that
+    what stayed under a threshold of 10 MB took 308 MB in the driver."""
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in by or rows.columns if c not in on]), F.lit(salt)))
     right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    return left.join(right.hint("merge") if merge else right, [*on, "_salt"], how).drop("_salt")
 
 
 def own_name(df: DataFrame, stem: str) -> str:

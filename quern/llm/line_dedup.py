@@ -6,7 +6,7 @@ to every window of `run` lines around it; equal windows are brought together by
 the union of windows that aren't first makes the maximal repeated runs. Counts and first places are partial aggregates,
 so a line that a third of all texts hold costs a row a task; the rows of hot fingerprints and windows are dealt to several
 tasks by salt. Filters of fixed size keep fingerprints and texts that can't be affected out of the joins, so texts that
-lose nothing are never shuffled.
+lose nothing are never shuffled. No table that grows with the input is broadcast, so none is held by the driver.
 
 Without `words` a repeat of fewer than `run` lines stays, however long its lines are. With it, windows of 1 to `run` - 1
 lines that have more words than that are runs too; being few, they need no fingerprints.
@@ -58,7 +58,7 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", run:
     near = F.greatest(F.col("f.at") - (run - 1), F.lit(0))  # the first line of the first window around the fingerprint
     prints = prints.select("key", "hash", F.col("f.h").alias("print"), near.alias("base"), F.slice("l", near + 1, F.least(F.col("f.at") + run, F.size("l")) - near).alias("around"))
     twice = materialise(prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print"), "line-prints")
-    hits = salted_join(prints.filter(member_filter(twice)(F.col("print"))), twice, ["print"], "left_semi", ["key", "hash", "base"])
+    hits = salted_join(prints.filter(member_filter(twice)(F.col("print"))), twice, ["print"], "left_semi", ["key", "hash", "base"], merge=True)
     starts = F.sequence(F.lit(0), F.size("around") - run)
     of = lambda k: F.slice("around", k + 1, F.lit(run))
     windows = hits.select("key", "hash", F.explode(F.transform(starts, lambda k: F.struct(
@@ -71,7 +71,7 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", run:
     discard(twice)
     place = F.struct("key", "hash", "at")
     firsts = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = salted_join(windows, firsts, ["a", "b"], "inner", ["key", "hash", "at"]).filter(~place.eqNullSafe(F.col("first")))
+    later = salted_join(windows, firsts, ["a", "b"], "inner", ["key", "hash", "at"], merge=True).filter(~place.eqNullSafe(F.col("first")))
     return later.select("key", "hash", F.explode("lines").alias("i")).groupBy("key", "hash").agg(F.collect_set("i").alias("removed"))
 
 
@@ -83,7 +83,7 @@ def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", run: int
     place = lambda k, h: F.xxhash64(F.coalesce(k.cast("string"), F.lit("-")), h)
     has, own = member_filter(gone.select(place(F.col("_key"), F.col("_hash")))), F.xxhash64(df[text])
     touched = df.filter(has(place(df[key], own)))
-    joined = touched.join(gone, touched[key].eqNullSafe(gone["_key"]) & (own == gone["_hash"]), "left").drop("_key", "_hash")
+    joined = touched.join(gone.hint("merge"), touched[key].eqNullSafe(gone["_key"]) & (own == gone["_hash"]), "left").drop("_key", "_hash")
     joined = joined.unionByName(df.filter(~has(place(df[key], own))).withColumn("removed", F.lit(None).cast("array<int>")))
     kept = F.array_join(F.filter(F.split(t, "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
     n = F.size(F.filter(F.split(F.coalesce(t, F.lit("")), "\n"), _nonblank)).cast("long")

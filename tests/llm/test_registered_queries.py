@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import byte_bpe, common, mixing, queries
+from quern.llm import byte_bpe, common, line_dedup, mixing, queries
 from tests.llm.docs import rows, words
 from tests.llm.test_near_and_substring import near_copies, shingles
 from tests.llm.test_rules_shards_mix import expected
@@ -198,3 +198,20 @@ def test_salted_joins_are_joins(spark):
     right = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c")], "k int, w string")
     for how in ("left", "inner", "left_semi"):
         assert sorted(map(str, common.salted_join(left, right, ["k"], how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+
+
+def test_line_dedup_broadcasts_no_table_that_grows(spark, small, monkeypatch):
+    """Fingerprints, first places and removed lines are far under Spark's threshold here, and yet must not go to the driver."""
+    ran, kept = [], common.materialise
+
+    def plan(df):
+        df.collect()
+        ran.append(df._jdf.queryExecution().executedPlan().toString())
+
+    def seen(df, tag):
+        plan(df)
+        return kept(df, tag)
+
+    monkeypatch.setattr(line_dedup, "materialise", seen)
+    plan(queries.op7_line_dedup(spark, small))
+    assert [("SortMergeJoin" in p, "Broadcast" in p) for p in ran] == [(False, False), (True, False), (True, False), (True, False)]
